@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from hudlake.llm import simhash
+from hudlake.llm import packing, records, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op10_token_records": records.op10_token_records,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,34 @@
+import numpy as np
+from hudlake.llm import tokens
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+ENC = tokens.Encoder()
+parts = st.sampled_from(["word", "it's", "'s", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x1f ", "12", "é", "ß!", ".", "<|endoftext|>", "", "\r\n", " \n", "​", "日本", "don't"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(parts, max_size=14).map("".join))
+def test_chunks_give_the_ids_of_the_whole_text(text):
+    want = ENC.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENC.encode(text), "<u4").tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text(text):
+    want = ENC.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENC.encode(text), "<u4").tolist() == want
+
+
+def test_null_and_empty():
+    assert ENC.encode(None) == ENC.encode("") == b""
+
+
+def test_dictionary_stays_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
+    enc = tokens.Encoder()
+    text = " ".join(f"w{i}" for i in range(400))
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    enc.encode("a b")
+    assert len(enc.inner) < 50
