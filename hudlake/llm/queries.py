@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from hudlake.llm import chat, packing, quality, records, simhash, toxicity
+from hudlake.llm import chat, packing, pieces, quality, records, scoring, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_sampled_pieces": pieces.op7_sampled_pieces,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_lattice_scoring": scoring.op9_lattice_scoring,
     "op10_token_records": records.op10_token_records,
 }
 ORACLES: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL}
