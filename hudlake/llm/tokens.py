@@ -1,26 +1,36 @@
-"""Byte-level BPE token ids, encoded once per distinct space-delimited chunk.
+"""Byte-level BPE token ids, where the encoder runs once per distinct pre-token.
 
-The pre-tokenizer of the byte-level vocabulary never forms a token across the place between a
-non-space character and a following space, so a text's ids are the ids of its chunks, each with its
-leading space, in order. Chunks repeat far more often than they differ, and a dictionary of their
-ids, bounded in entries, replaces most of the encoder's work.
+The vocabulary's pre-tokenizer cuts a text by the published byte-level BPE pattern. Over the alphabet
+below (Latin letters, ASCII digits, common marks and white space) the same pattern is applied here
+with every class written out, and the ids of each distinct pre-token are remembered in a bounded
+dictionary; pre-tokens repeat far more often than they differ. A text with any other character goes
+to the tokenizer whole.
 
-Defined cases: a null text counts as empty; an empty text has no ids but the end id.
+Defined cases: a null text counts as empty; an empty text has no ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 
-#: Entries of the chunk dictionary before it is emptied; about 120 MB.
-MOST_CHUNKS = 400_000
-#: Chunks longer than this are encoded but not remembered.
-LONGEST_CHUNK = 64
+#: Remembered pre-tokens before the dictionary is emptied (some 100 MB), and the longest of them.
+MOST_WORDS, LONGEST_WORD = 500_000, 64
 END_ID = 0
 
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+DIGITS = "0-9"
+MARKS = "!-/:-@\\[-`{-~¡-©«-¬®-±´¶-¸»¿×÷‐-‧₠-₿"
+BLANKS = " \\n\\t\\r"
+OTHER = re.compile(f"[^{LETTERS}{DIGITS}{MARKS}{BLANKS}]")
+PRETOKEN = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[{MARKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -28,8 +38,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where printable, else from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class Words(dict):
+    """Ids by pre-token, as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letter = tokenizer.model, byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        letter, packed = self.letter, self.packed
+        if word[1:].isalpha() and word.isascii() and word[0] == " ":  # most words: printable but for the space
+            shown = letter[32] + word[1:]
+        else:
+            shown = "".join([letter[b] for b in word.encode()])
+        found = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
+        if len(word) <= LONGEST_WORD:
+            self[word] = found
+        return found
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids as bytes."""
+    """Texts to little-endian unsigned 32-bit ids as bytes, without an end id."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,62 +75,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.tokenizer.encode_special_tokens = True
-        self.inner = Chunks(self.tokenizer)
+        self.words = Words(self.tokenizer)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` without an end id."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if len(self.inner) > MOST_CHUNKS:
-            self.inner.clear()
-        try:
-            if not first or first[-1].isspace():
-                raise TypeError
-            return self.plain(first) + b"".join(map(self.inner.__getitem__, rest))
-        except TypeError:  # a chunk that cannot stand alone
-            return self.joined(text)
-
-    def joined(self, text: str) -> bytes:
-        """The same, where runs of spaces or other white space before a space keep chunks together."""
-        out, held, lead = [], "", ""
-        for chunk in text.split(" "):
-            held, lead = held + lead + chunk, " "
-            if chunk and not chunk[-1].isspace():
-                out.append(self.inner.grouped(held))
-                held = ""
-        if held:
-            out.append(self.plain(held))
-        return b"".join(out)
-
-
-class Chunks(dict):
-    """Ids by chunk, the chunk without its leading space; None where it must be joined to the next."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[-1].isspace():
-            return None
-        if chunk.isascii() and chunk.isalpha():  # one word: one pre-token, whose space the vocabulary writes as U+0120
-            ids = [t.id for t in self.model.tokenize("Ġ" + chunk)]
-        else:
-            ids = self.tokenizer.encode(" " + chunk, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= LONGEST_CHUNK:
-            self[chunk] = found
-        return found
-
-    def grouped(self, held: str) -> bytes:
-        """Ids of chunks joined with their spaces."""
-        found = self[held[1:]] if held[0] == " " else None
-        return np.array(self.tokenizer.encode(held, add_special_tokens=False).ids, "<u4").tobytes() if found is None else found
+        if OTHER.search(text):
+            return self.plain(text)
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, PRETOKEN.findall(text)))
 
 
+@cache
 def encoder(path: str | None = None) -> Callable[[str | None], bytes]:
+    """One encoder a Python worker, so that its dictionary outlives a task."""
     return Encoder(path).encode

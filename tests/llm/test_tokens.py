@@ -4,12 +4,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 ENC = tokens.Encoder()
-parts = st.sampled_from(["word", "it's", "'s", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x1f ", "12", "é", "ß!", ".", "<|endoftext|>", "", "\r\n", " \n", "​", "日本", "don't"])
+parts = st.sampled_from(["word", "it's", "'s", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x1f ", "12", "é", "ß!", ".", "<|endoftext|>", "", "\r\n", " \n", "​", "日本", "don't", "%%%", "a1b2", "x.\ny", "É", "ÿ,", "×", "ª", "\n!", "’s", "'ll", "“", "€", "½", "\xad", "\xa0", "ſ", "µ", " \t"])
 
 
 @settings(max_examples=1500, deadline=None)
 @given(st.lists(parts, max_size=14).map("".join))
-def test_chunks_give_the_ids_of_the_whole_text(text):
+def test_pretokens_give_the_ids_of_the_whole_text(text):
     want = ENC.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ENC.encode(text), "<u4").tolist() == want
 
@@ -26,9 +26,23 @@ def test_null_and_empty():
 
 
 def test_dictionary_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
     enc = tokens.Encoder()
     text = " ".join(f"w{i}" for i in range(400))
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
     enc.encode("a b")
-    assert len(enc.inner) < 50
+    assert len(enc.words) < 50
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(32, 0x180)] + list("\n\t\r‐–—’“”…•‧€₿\u2028"), max_size=40))
+def test_the_written_out_alphabet(text):
+    want = ENC.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENC.encode(text), "<u4").tolist() == want
+
+
+def test_every_letter_of_the_alphabet_has_its_class():
+    for c in map(chr, [*range(32, 0x180), *range(0x2010, 0x2028), *range(0x20A0, 0x20C0)]):
+        for text in (f"a{c}b", f"1{c}2", f"!{c}?", f" {c} ", f"{c}{c} {c}"):
+            want = ENC.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ENC.encode(text), "<u4").tolist() == want
