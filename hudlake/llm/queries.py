@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hudlake.llm import chat, embeddings, packing, pieces, quality, records, scoring, simhash, toxicity
+from hudlake.llm import chat, embeddings, packing, pieces, quality, records, scoring, simhash, substrings, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
