@@ -8,22 +8,28 @@ spelled in bytes, so that decoding restores it. One space is put before every te
 vocabulary's word-initial pieces expect, and taken off again by decoding.
 
 No piece runs on from a non-space to a space or over a line feed, so the lattice of a text falls apart
-into the lattices of its segments: runs of spaces with the word behind them. Segments repeat, and a
-segment's lattice is built once while it is remembered (``MOST_SEGMENTS``, ``MOST_EDGES``).
+into the lattices of its segments: runs of spaces with the word behind them. The distinct segments of
+a batch of texts get their lattices together, as arrays: pieces are found by rolling hashes of all
+substrings that begin some piece, and the forward recursion runs over all segments at a time, one
+place after another. Batches are bounded in characters (``BATCH_CHARS``).
 """
 
 from __future__ import annotations
 
 import re
-from math import exp, log
+from functools import cache
+from math import log
 
 import numpy as np
 
 SHIFT = 2.7
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
-MOST_SEGMENTS = 300_000
-MOST_EDGES = 4_000_000
-LONGEST_SEGMENT = 64
+BATCH_CHARS = 2_000_000
+#: Rows that a worker takes up at a time: enough to fill a batch.
+BATCH_ROWS = 1024
+#: Segments whose probabilities are remembered between batches, and the longest of them.
+MOST_SEGMENTS, LONGEST_SEGMENT = 600_000, 64
+SLOTS = 20
 SPACE = "▁"
 
 
@@ -56,68 +62,165 @@ class Vocabulary:
                 self.pieces[p] = (i, log(1 / (len(ranks) + SHIFT) / total))
         self.byte_ids = byte
         self.byte_log = log(weight[byte[0]] / total)
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.bytes_of = [b""] * size
         for p, (i, _) in self.pieces.items():
             self.bytes_of[i] = p.encode()
         for b, i in enumerate(byte):
             self.bytes_of[i] = bytes([b])
+        self.longest = max(map(len, self.pieces))
+        prefixes = sorted({p[:k] for p in self.pieces for k in range(1, len(p) + 1)})
+        none = (-1, 0.0)
+        self.piece_at = np.array([self.pieces.get(p, none)[0] for p in prefixes], "i8")
+        self.log_at = np.array([self.pieces.get(p, none)[1] for p in prefixes])
+        self.hash_at = np.zeros(len(prefixes), "u8")
+        for length in {len(p) for p in prefixes}:
+            mine = [i for i, p in enumerate(prefixes) if len(p) == length]
+            codes, h = code_points("".join(prefixes[i] for i in mine)).reshape(-1, length), np.zeros(len(mine), "u8")
+            for k in range(length):
+                h = roll(h, codes[:, k])
+            self.hash_at[mine] = h
+        self.table, self.probes = np.full((1 << SLOTS) + 64, -1, "i4"), 1
+        for i, slot in enumerate((self.hash_at >> np.uint64(64 - SLOTS)).tolist()):
+            step = 0
+            while self.table[slot + step] >= 0:
+                step += 1
+            self.table[slot + step] = i
+            self.probes = max(self.probes, step + 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of the prefix of each hash, or -1."""
+        slot, out, left = h >> np.uint64(64 - SLOTS), np.full(len(h), -1, "i4"), np.arange(len(h))
+        for k in range(self.probes):
+            entry = self.table[slot[left] + np.uint64(k)]
+            hit = (entry >= 0) & (self.hash_at[entry] == h[left])
+            out[left[hit]] = entry[hit]
+            left = left[~hit & (entry >= 0)]
+            if not left.size:
+                break
+        return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
 
-    def edges(self, segment: str) -> list[list[tuple[int, int, float]]]:
-        """By node: (source node, piece, log probability) of the pieces that end there; node 0 has none.
-
-        Nodes are character boundaries, and the places between the bytes of characters that the
-        vocabulary does not hold.
-        """
-        pieces, prefixes, n = self.pieces, self.prefixes, len(segment)
-        spelled = {i: segment[i].encode("utf-8", "replace") for i in range(n) if segment[i] not in pieces}
-        node, at = [0] * (n + 1), 0
-        for i in range(n):
-            at += len(spelled[i]) if i in spelled else 1
-            node[i + 1] = at
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(at + 1)]
-        for i in range(n):
-            if i in spelled:
-                for k, b in enumerate(spelled[i]):
-                    into[node[i] + k + 1].append((node[i] + k, self.byte_ids[b], self.byte_log))
-            j = i + 1
-            while j <= n and (p := segment[i:j]) in prefixes:
-                if p in pieces:
-                    into[node[j]].append((node[i], *pieces[p]))
-                j += 1
-        return into
-
-
-def forward(into: list[list[tuple[int, int, float]]]) -> list[float]:
-    """Log of the summed probability of all paths to each node, by forward recursion in log space."""
-    alpha = [0.0] * len(into)
-    for v in range(1, len(into)):
-        terms = [alpha[u] + w for u, _, w in into[v]]
-        top = max(terms)
-        alpha[v] = top if len(terms) == 1 else top + log(sum(exp(t - top) for t in terms))
-    return alpha
+
+def roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (h + codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return z ^ z >> np.uint64(32)
+
+
+class Lattices:
+    """The lattices of distinct segments. A node is the place behind a character; nodes are numbered by
+    place first and segment second, and the edges into a node stand together in node order."""
+
+    def __init__(self, v: Vocabulary, segments: list[str]):
+        codes = code_points("".join(segments))
+        n = np.fromiter(map(len, segments), "i8", len(segments))
+        self.length, total = n, len(codes)
+        start = np.cumsum(n) - n
+        place = np.arange(total) - np.repeat(start, n)
+        room = np.repeat(n, n) - place
+        order = np.argsort(place * np.int64(len(n) + 1) + np.repeat(np.arange(len(n)), n), kind="stable")
+        node = np.empty(total, "i8")
+        node[order] = np.arange(total)
+        self.place = place[order] + 1
+        self.last = node[start + n - 1] if total else np.zeros(0, "i8")
+        begins, ends, piece, weight = [], [], [], []
+        live, h = np.arange(total), np.zeros(total, "u8")
+        for size in range(1, v.longest + 1):
+            fits = room[live] >= size
+            live, h = live[fits], h[fits]
+            if not live.size:
+                break
+            h = roll(h, codes[live + size - 1])
+            entry = v.find(h)
+            known = (entry >= 0) & (v.piece_at[entry] >= 0)
+            begins.append(live[known])
+            ends.append(live[known] + size - 1)
+            piece.append(v.piece_at[entry[known]])
+            weight.append(v.log_at[entry[known]])
+            if size == 1:  # characters without a piece are spelled in bytes; marked by their code points
+                other = live[~known]
+                begins.append(other)
+                ends.append(other)
+                piece.append(-codes[other].astype("i8"))
+                weight.append(utf8_bytes(codes[other]) * v.byte_log)
+            live, h = live[entry >= 0], h[entry >= 0]
+        begins, ends, piece, weight = (np.concatenate(x) if x else np.zeros(0, "i8") for x in (begins, ends, piece, weight))
+        sort = np.argsort(node[ends], kind="stable") if total else np.zeros(0, "i8")
+        begins, self.piece, weight = begins[sort], piece[sort], weight[sort]
+        self.source = np.where(place[begins] > 0, node[begins - 1], -1) if total else begins
+        self.node = node[ends[sort]] if total else begins
+        first = np.searchsorted(self.node, np.arange(total + 1))
+        # forward filtering, place by place
+        self.alpha, self.value = np.zeros(total), np.zeros(len(begins))
+        levels = np.searchsorted(self.place, np.arange(1, (int(n.max()) if len(n) else 0) + 2))
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
+            to = slice(first[a], first[b])
+            source = self.source[to]
+            value = weight[to] + np.where(source >= 0, self.alpha[source], 0.0)
+            cuts, own = first[a:b] - first[a], self.node[to] - a
+            top = np.maximum.reduceat(value, cuts)
+            self.alpha[a:b] = top + np.log(np.add.reduceat(np.exp(value - top[own]), cuts))
+            self.value[to] = value
+
+    def marginals(self) -> np.ndarray:
+        """Log probability of each segment over all its segmentations."""
+        return self.alpha[self.last]
+
+    def keys(self) -> np.ndarray:
+        """For each edge, its node's number plus the cumulative probability of the node's edges up to it."""
+        chance = np.exp(self.value - self.alpha[self.node])
+        total = np.cumsum(chance)
+        starts = np.searchsorted(self.node, self.node)
+        out = self.node + (total - (total[starts] - chance[starts]))
+        final = np.flatnonzero(np.diff(self.node, append=-1) != 0)
+        out[final] = self.node[final] + 1.0
+        return out
+
+
+def utf8_bytes(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes > 0x7F).astype("i8") + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
+def batches(texts: list[str | None], most: int | None = None):
+    """Ranges of texts that hold ``BATCH_CHARS`` characters, or one text each."""
+    at = 0
+    while at < len(texts):
+        size, stop = 0, at
+        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= (most or BATCH_CHARS)):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield at, stop
+        at = stop
 
 
 class Marginals(dict):
     """Log10 probability by segment."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, v: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, segment: str) -> float:
-        found = forward(self.vocabulary.edges(segment))[-1] / log(10)
-        if len(segment) <= LONGEST_SEGMENT:
-            self[segment] = found
-        return found
+        self.vocabulary = v
+
+    def texts(self, texts: list[str | None]) -> list[float]:
+        """Log10 of the probability of each text, summed over all its segmentations."""
+        out: list[float] = []
+        for a, b in batches(texts):
+            cut = [SEGMENT.findall(" " + t) if t else [] for t in texts[a:b]]
+            if len(self) > MOST_SEGMENTS:
+                self.clear()
+            new = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in self]
+            found = dict(zip(new, (Lattices(self.vocabulary, new).marginals() / log(10)).tolist()))
+            self.update(found)
+            out += [float(sum(map(self.__getitem__, c))) for c in cut]
+            for s in new:
+                if len(s) > LONGEST_SEGMENT:
+                    del self[s]
+        return out
 
     def text(self, text: str | None) -> float:
-        """Log10 of the probability of the text, summed over all its segmentations."""
-        if not text:
-            return 0.0
-        if len(self) > MOST_SEGMENTS:
-            self.clear()
-        return sum(map(self.__getitem__, SEGMENT.findall(" " + text)))
+        return self.texts([text])[0]
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -129,96 +232,75 @@ def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return ((z ^ z >> np.uint64(31)) >> np.uint64(24)) * 2.0**-40
 
 
-class Sampler(dict):
-    """Forward-filtering backward-sampling, for all segments of a batch at a time.
-
-    As a dictionary: a segment's last node in the store. The store keeps, for the edges into each node
-    in node order, node + cumulative probability of the edge given the node, so that one binary search
-    draws an edge for every open segment.
-    """
+class Sampler:
+    """Forward-filtering backward-sampling, for all segments of a batch at a time: one binary search among
+    the lattices' keys draws an edge for every open segment."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-        self.key, self.source, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4")
-        self.nodes = self.used = 0
-
-    def __missing__(self, segment: str) -> int:
-        into = self.vocabulary.edges(segment)
-        alpha = forward(into)
-        base, key, source, piece = self.nodes, [], [], []
-        for v in range(1, len(into)):
-            total = 0.0
-            for u, p, w in into[v]:
-                total += exp(alpha[u] + w - alpha[v])
-                key.append(base + v + total)
-                source.append(base + u)
-                piece.append(p)
-            key[-1] = base + v + 1.0
-        while self.used + len(key) > len(self.key):
-            self.key, self.source, self.piece = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key, self.source, self.piece))
-        to = slice(self.used, self.used + len(key))
-        self.key[to], self.source[to], self.piece[to] = key, source, piece
-        self.used += len(key)
-        self.nodes += len(into)
-        self[segment] = base + len(into) - 1
-        self.first[base + len(into) - 1] = base
-        return base + len(into) - 1
-
-    @property
-    def first(self) -> dict[int, int]:
-        """First node by last node."""
-        return self.__dict__.setdefault("_first", {})
-
-    def forget(self) -> None:
-        self.clear()
-        self.first.clear()
-        self.nodes = self.used = 0
+    def __init__(self, v: Vocabulary):
+        self.vocabulary = v
+        self.byte_ids = np.array(v.byte_ids)
 
     def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[bytes]:
         """A drawn segmentation of each text, as little-endian unsigned 32-bit piece ids."""
-        out, at = [], 0
-        while at < len(texts):
-            size, stop = 0, at
-            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= 1 << 20):
-                size += len(texts[stop] or "")
-                stop += 1
-            out += self._sample(texts[at:stop], seeds[at:stop])
-            at = stop
-        return out
+        return [x for a, b in batches(texts) for x in self._sample(texts[a:b], seeds[a:b])]
 
     def _sample(self, texts: list[str | None], seeds: np.ndarray) -> list[bytes]:
-        if self.used > MOST_EDGES or len(self) > MOST_SEGMENTS:
-            self.forget()
         cut = [SEGMENT.findall(" " + t) if t else [] for t in texts]
-        flat = [s for segs in cut for s in segs]
-        last = np.fromiter(map(self.__getitem__, flat), "i8", len(flat))
-        base = np.fromiter(map(self.first.__getitem__, last.tolist()), "i8", len(flat))
+        flat = [s for c in cut for s in c]
+        index = {s: i for i, s in enumerate(dict.fromkeys(flat))}
+        lattices = Lattices(self.vocabulary, list(index))
+        which = np.fromiter(map(index.__getitem__, flat), "i8", len(flat))
         sizes = np.array([len(c) for c in cut], "i8")
-        seed = np.repeat(seeds.astype("u8"), sizes)
-        length = last - base
-        ends = np.cumsum(sizes)
-        start = np.cumsum(length) - length
-        start -= np.repeat(np.concatenate([[0], np.cumsum(length)])[ends - sizes], sizes) if len(flat) else 0
-        node, steps = last.copy(), []
-        count, live = np.zeros(len(flat), "i8"), np.arange(len(flat))
-        keys = self.key[: self.used]
+        seed, owner = np.repeat(seeds.astype("u8"), sizes), np.repeat(np.arange(len(texts)), sizes)
+        length = lattices.length[which]
+        begin = np.concatenate([[0], np.cumsum(length)])
+        text_begin = begin[np.cumsum(sizes) - sizes]
+        start = begin[:-1] - text_begin[owner]  # of the segment in its text: a draw depends on seed and place alone
+        node, live, steps, keys = lattices.last[which], np.arange(len(flat)), [], lattices.keys()
+        count = np.zeros(len(flat), "i8")
         while live.size:
             v = node[live]
-            edge = np.searchsorted(keys, v + uniform(seed[live], start[live] + v - base[live]), "right")
-            steps.append((live, self.piece[edge]))
-            node[live] = self.source[edge]
+            edge = np.searchsorted(keys, v + uniform(seed[live], start[live] + lattices.place[v]), "right")
+            steps.append((live, lattices.piece[edge]))
+            node[live] = lattices.source[edge]
             count[live] += 1
-            live = live[node[live] != base[live]]
-        offset = np.cumsum(count) - count
-        ids = np.zeros(int(count.sum()), "<u4")
+            live = live[node[live] >= 0]
+        behind = np.cumsum(count)
+        ids = np.zeros(int(count.sum()), "i8")
         for k, (who, piece) in enumerate(steps):
-            ids[offset[who] + count[who] - 1 - k] = piece
-        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], ends])]
-        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-
-
-def decode(vocabulary: Vocabulary, ids: bytes | None) -> str:
+            ids[behind[who] - 1 - k] = piece
+        bounds = np.concatenate([[0], behind])[np.concatenate([[0], np.cumsum(sizes)])]
+        ids, bounds = self.spell(ids, bounds)
+        ids = ids.astype("<u4")
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def spell(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put byte pieces in the place of characters that are marked by their negated code points."""
+        marked = np.flatnonzero(ids <= 0)
+        width = np.ones(len(ids), "i8")
+        width[marked] = utf8_bytes(-ids[marked])
+        ahead = np.concatenate([[0], np.cumsum(width)])
+        out = np.repeat(ids, width)
+        for c in np.unique(ids[marked]).tolist():
+            at = ahead[marked[ids[marked] == c]]
+            for k, b in enumerate(chr(-c).encode("utf-8")):
+                out[at + k] = self.byte_ids[b]
+        return out, ahead[bounds]
+
+
+def decode(v: Vocabulary, ids: bytes | None) -> str:
     if not ids:
         return ""
-    return b"".join(map(vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
+    return b"".join(map(v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
+
+
+@cache
+def vocabulary(path: str | None = None) -> Vocabulary:
+    """One vocabulary a Python worker."""
+    return Vocabulary(path)
+
+
+@cache
+def marginals(path: str | None = None) -> Marginals:
+    """One store a Python worker, so that it outlives a task."""
+    return Marginals(vocabulary(path))

@@ -24,7 +24,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     """(key, text, n_pieces, ids): ids are little-endian unsigned 32-bit piece ids."""
 
     def make():
-        sampler = lattice.Sampler(lattice.Vocabulary(vocabulary))
+        sampler = lattice.Sampler(lattice.vocabulary(vocabulary))
 
         def work(columns):
             keys, texts, seeds = columns
@@ -34,7 +34,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
         return work
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(F.lit(seed), F.col(key).cast("long")).alias("s"))
-    return shared.map_rows(rows, make, "doc_id long, text string, n_pieces long, ids binary")
+    return shared.map_rows(rows, make, "doc_id long, text string, n_pieces long, ids binary", lattice.BATCH_ROWS)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     at = names.index("ids")
 
     def make():
-        v = lattice.Vocabulary(vocabulary)
+        v = lattice.vocabulary(vocabulary)
         return lambda columns: dict(zip(names, columns)) | {"decoded": [lattice.decode(v, x) for x in columns[at]]}
 
     fields = ", ".join(f"{n} {t}" for n, t in encoded.dtypes)

@@ -93,17 +93,17 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     def make():
         from pyspark import TaskContext
 
-        marginals, n = lattice.Marginals(lattice.Vocabulary(vocabulary)), TaskContext.get().partitionId() << 40
+        marginals, n = lattice.marginals(vocabulary), TaskContext.get().partitionId() << 40
 
         def work(columns):
             nonlocal n
             out = {c: [] for c in ("row", "doc_id", "n_tokens", "n_hot", "hot_log", "score", "cold")}
-            for k, t in zip(*columns):
+            for k, t, lp in zip(*columns, marginals.texts(columns[1])):
                 words = tokens(t)
                 found = list(map(logs.get, words))
                 missing = found.count(None)
                 cold = Counter(w for w, f in zip(words, found) if f is None) if missing else {}
-                for name, v in zip(out, (n, k, len(words) + 1, len(words) - missing + end_known, sum(filter(None, found)) + end_log, marginals.text(t), [{"word": w, "n": c} for w, c in cold.items()])):
+                for name, v in zip(out, (n, k, len(words) + 1, len(words) - missing + end_known, sum(filter(None, found)) + end_log, lp, [{"word": w, "n": c} for w, c in cold.items()])):
                     out[name].append(v)
                 n += 1
             return out
@@ -113,6 +113,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     first = shared.stage(shared.map_rows(
         docs.select(F.col(key).cast("long"), text), make,
         "row long, doc_id long, n_tokens long, n_hot long, hot_log double, score double, cold array<struct<word:binary,n:long>>",
+        lattice.BATCH_ROWS,
     ), "scored")
     tail = first.where("size(cold) > 0").select("row", F.explode("cold").alias("t")).select("row", "t.word", "t.n")
     c = F.coalesce("c", F.lit(0))

@@ -50,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Run a Python function over column lists, ``SLICE_ROWS`` rows at a time.
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Run a Python function over column lists, ``rows`` rows at a time.
 
     ``make`` is called once a task and returns the function, so that caches live as long as the
     task; the function gets one list per column of ``df`` and returns lists by output column.
@@ -67,8 +67,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str,
         arrow = to_arrow_schema(target)
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = work([c.to_pylist() for c in part.columns])
                 arrays = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -69,12 +69,16 @@ def test_decoding_is_lossless(texts):
     assert s.sample(texts[::-1], np.arange(len(texts))[::-1])[::-1] == ids
 
 
-def test_store_stays_bounded(monkeypatch):
-    monkeypatch.setattr(lattice, "MOST_EDGES", 500)
-    s = lattice.Sampler(V)
-    texts = [f"some words number {i}" for i in range(200)]
-    one = [s.sample([t], np.array([i]))[0] for i, t in enumerate(texts)]
-    assert one == lattice.Sampler(V).sample(texts, np.arange(200)) and s.used < 1000
+def test_batches_do_not_change_results(monkeypatch):
+    texts = [f"some words  number {i} é▁日\n" for i in range(200)]
+    ids, lp = lattice.Sampler(V).sample(texts, np.arange(200)), lattice.Marginals(V).texts(texts)
+    monkeypatch.setattr(lattice, "BATCH_CHARS", 100)
+    monkeypatch.setattr(lattice, "MOST_SEGMENTS", 10)
+    m = lattice.Marginals(V)
+    assert lattice.Sampler(V).sample(texts, np.arange(200)) == ids and np.allclose(m.texts(texts), lp)
+    assert len(m) < 60
+    long = "x" * 3000 + " " * 40 + "y\n" * 50
+    assert lattice.decode(V, lattice.Sampler(V).sample([long], np.array([1]))[0]) == long
 
 
 TEXTS = [(0, None), (1, ""), (2, "Hello  World"), (2, "Hello  World"), (None, "no id"), (5, "a b c " * 4000), (6, "▁x\x00é\n")] + [(i, f"the word w{i % 7} and rare{i}") for i in range(10, 60)]
