@@ -32,8 +32,9 @@ def payload(x: Column) -> Column:
 
 def decoded(images: DataFrame, column: str = "image_b64") -> DataFrame:
     """``images`` with bytes, status and detail; a bad row gets status 400 and never fails the job."""
-    data = F.try_to_binary(padded_base64(payload(F.col(column))), F.lit("base64"))
-    bad = F.coalesce(F.length(F.col(column)) == 0, F.lit(True)) | data.isNull()
+    body = payload(F.col(column))
+    data = F.try_to_binary(padded_base64(body), F.lit("base64"))
+    bad = F.coalesce(F.length(body) == 0, F.lit(True)) | data.isNull()
     return images.withColumns({"bytes": data, "status": F.when(bad, 400).otherwise(200), "detail": F.when(bad, F.lit("invalid base64 image"))})
 
 
