@@ -186,7 +186,7 @@ def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
     ranges = labelled.where("quality = 1").agg(
         *[F.percentile_approx(k, [1 - RANGE, RANGE], 10_000).alias(k) for k in RULES]
     ).first()
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *BASE).limit(FIT_ROWS).select(*RULES).collect()
+    sample = shared.hash_sample(labelled, FIT_ROWS, ["doc_id", *BASE]).select(*RULES).collect()
     if not sample or ranges[0] is None:
         return stats.withColumn("anomaly", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
     low, high = np.array([list(r) for r in ranges]).T

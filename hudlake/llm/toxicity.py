@@ -146,8 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None) ->
     """Fit on labelled rows of ``docs`` for which ``learn``, by default those not held out, is true."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     known = labels.where(F.col("doc_id").isNotNull() & learn).select("doc_id", "toxic")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(FIT_ROWS).union(known.where("toxic = 0").orderBy(*order).limit(FIT_ROWS))
+    chosen = shared.hash_sample(known.where("toxic = 1"), FIT_ROWS, ["doc_id"]).union(
+        shared.hash_sample(known.where("toxic = 0"), FIT_ROWS, ["doc_id"])
+    )
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
     def make():
