@@ -202,10 +202,10 @@ def extract_json(spark, sf_dir):
 
 
 def _pictures(spark, sf_dir):
-    """Small images: a pattern of each order key's digest, 8 by 8 pixels of three channels."""
-    data = F.unhex(F.concat(*[F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(f"/{i}"))) for i in range(12)]))
+    """Small images: a pattern of each supplier key's digest, 8 by 8 pixels of three channels."""
+    data = F.unhex(F.concat(*[F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit(f"/{i}"))) for i in range(12)]))
     size = [F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels")]
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), *size, data.alias("data"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), *size, data.alias("data"))
 
 
 def _kernel(kernel):
