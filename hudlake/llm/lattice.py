@@ -152,7 +152,7 @@ class Lattices:
         begins, self.piece, weight = begins[sort], piece[sort], weight[sort]
         self.source = np.where(place[begins] > 0, node[begins - 1], -1) if total else begins
         self.node = node[ends[sort]] if total else begins
-        first = np.searchsorted(self.node, np.arange(total + 1))
+        self.first = first = np.concatenate([[0], np.cumsum(np.bincount(self.node, minlength=total))])
         # forward filtering, place by place
         self.alpha, self.value = np.zeros(total), np.zeros(len(begins))
         levels = np.searchsorted(self.place, np.arange(1, (int(n.max()) if len(n) else 0) + 2))
@@ -173,7 +173,7 @@ class Lattices:
         """For each edge, its node's number plus the cumulative probability of the node's edges up to it."""
         chance = np.exp(self.value - self.alpha[self.node])
         total = np.cumsum(chance)
-        starts = np.searchsorted(self.node, self.node)
+        starts = self.first[self.node]
         out = self.node + (total - (total[starts] - chance[starts]))
         final = np.flatnonzero(np.diff(self.node, append=-1) != 0)
         out[final] = self.node[final] + 1.0
@@ -233,8 +233,8 @@ def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Forward-filtering backward-sampling, for all segments of a batch at a time: one binary search among
-    the lattices' keys draws an edge for every open segment."""
+    """Forward-filtering backward-sampling, for all segments of a batch at a time: a step draws the edge into
+    every open segment's node whose key is the first above the draw."""
 
     def __init__(self, v: Vocabulary):
         self.vocabulary = v
@@ -260,7 +260,12 @@ class Sampler:
         count = np.zeros(len(flat), "i8")
         while live.size:
             v = node[live]
-            edge = np.searchsorted(keys, v + uniform(seed[live], start[live] + lattices.place[v]), "right")
+            draw = v + uniform(seed[live], start[live] + lattices.place[v])
+            edge = lattices.first[v]
+            past = np.flatnonzero(keys[edge] <= draw)
+            while past.size:
+                edge[past] += 1
+                past = past[keys[edge[past]] <= draw[past]]
             steps.append((live, lattices.piece[edge]))
             node[live] = lattices.source[edge]
             count[live] += 1
