@@ -2,9 +2,9 @@
 
 *Paragraphs* are lines of at least ``MIN_WORDS`` words. A paragraph's 5-word shingles are reduced to
 min-hashes; ``tune`` picks the fewest bands that find a pair of Jaccard similarity ``SIMILARITY`` with
-probability ``RECALL``. Paragraphs that collide in a band are compared with the band's first and last
-paragraph by the exact Jaccard similarity of their shingle sets; links make components, and all
-paragraphs of a component but its first are removals. Equal paragraphs are one paragraph throughout.
+probability ``RECALL``. All paragraphs that collide in a band are compared with each other by the exact
+Jaccard similarity of their shingle sets; links make components, and all paragraphs of a component but
+its first are removals. Equal paragraphs are one paragraph throughout.
 
 *Passages* of at least ``MIN_WORDS`` words that sit anywhere inside paragraphs collide with nothing as
 parts of different lines, so the unit for them is a block of ``BLOCK`` words. Blocks start at anchors:
@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hudlake.llm import shared
+from hudlake.llm.embeddings import local_roots
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 MIN_WORDS = 50
 BLOCK = 20
 REACH = MIN_WORDS - BLOCK + 1
+PAIRED, MEMBERS, COLUMNS = 16, 128, 4096
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -206,13 +208,74 @@ def paragraphs(staged: DataFrame) -> DataFrame:
     )
 
 
+def crowded(keyed: DataFrame) -> DataFrame:
+    """(h, k, n): members of the bands that hold n > 1 different ones, of distinct (h, k)."""
+    counts = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(counts, "k").select("h", "k", "n")
+
+
 def collisions(staged: DataFrame) -> DataFrame:
-    """(h, other): different paragraphs that share a band with the band's first or last paragraph."""
+    """(h, k, n): the paragraphs that share a band with different ones."""
     rows = staged.select(F.explode(F.transform("l_hash", lambda h, i: F.struct(h.alias("h"), F.slice("bands", i * BANDS + 1, BANDS).alias("k")))).alias("l"))
-    keyed = rows.select(F.col("l.h").alias("h"), F.explode("l.k").alias("k"))
-    shared_by = keyed.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high")
-    met = keyed.join(shared_by, "k").select("h", F.explode(F.array("low", "high")).alias("other")).where("h != other")
-    return met.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()
+    return crowded(rows.select(F.col("l.h").alias("h"), F.explode("l.k").alias("k")).distinct())
+
+
+def overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the pairwise intersections of sets, by products of 0/1 columns, ``COLUMNS`` at a time."""
+    n = len(grams)
+    owner = np.repeat(np.arange(n), [len(g) for g in grams])
+    _, column, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    wide = count > 1
+    number = np.cumsum(wide) - 1
+    keep = wide[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), "f4")
+    for lo in range(0, int(wide.sum()), COLUMNS):
+        s, e = np.searchsorted(column, (lo, lo + COLUMNS))
+        x = np.zeros((n, COLUMNS), "f4")
+        x[owner[s:e], column[s:e] - lo] = 1
+        out += x @ x.T
+    return out
+
+
+def near(met: DataFrame, grams: DataFrame) -> DataFrame:
+    """Edges (h, other) that connect the members of ``crowded`` bands as the pairs of Jaccard similarity ``SIMILARITY`` do.
+
+    All members of a band are compared with each other: as pairs in bands of up to ``PAIRED``, and in
+    larger ones in blocks of ``MEMBERS``, each pair of blocks by a task that reports one edge a member,
+    to the smallest member of its local component.
+    """
+    few = met.where(F.col("n") <= PAIRED).select("h", "k")
+    pairs = few.join(few.select(F.col("h").alias("other"), "k"), "k").where("h < other").select("h", "other").distinct()
+    pairs = pairs.join(grams, "h").join(grams.select(F.col("h").alias("other"), F.col("grams").alias("g2")), "other")
+    both = F.size(F.array_intersect("grams", "g2"))
+    found = pairs.where(both >= SIMILARITY * (F.size("grams") + F.size("g2") - both)).select("h", "other")
+
+    chunks = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("int")
+    many = met.where(F.col("n") > PAIRED).withColumn("chunk", F.pmod(F.xxhash64("h"), chunks).cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), chunks - 1))
+    ).select("h", "k", "chunk", F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b"))
+
+    def run(group):
+        import pyarrow as pa
+
+        group = group.sort_by("h")
+        h, chunk = group.column("h").to_numpy(), group.column("chunk").to_numpy()
+        sets = group.column("grams").combine_chunks()
+        ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        sets = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
+        size = np.array([len(g) for g in sets])
+        common = overlaps(sets)
+        link = common >= SIMILARITY * (size[:, None] + size[None, :] - common)
+        if chunk.min() != chunk.max():
+            link &= chunk[:, None] != chunk[None, :]
+        root = local_roots(len(h), *np.nonzero(np.triu(link, 1)))
+        some = np.flatnonzero(root != np.arange(len(h)))
+        return pa.table({"h": h[some], "other": h[root[some]]})
+
+    return found.union(many.join(grams, "h").groupBy("k", "a", "b").applyInArrow(run, "h long, other long")).distinct()
 
 
 def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,7 +321,7 @@ def removals(docs: DataFrame) -> DataFrame:
     found = shared.stage(runs(staged), "runs")
     met = shared.stage(collisions(staged), "met")
     lines = paragraphs(staged)
-    names = met.select("h").union(met.select("other")).distinct()
+    names = met.select("h").distinct()
     firsts = shared.stage(lines.join(names, "h").groupBy("h").agg(F.min(F.struct("doc_id", "rid", "s", "e")).alias("f")).select("h", "f.*"), "firsts")
     wanted = found.select("rid", "s", "e", F.lit(False).alias("whole")).union(
         found.select("of_rid", F.col("s") - F.col("shift"), F.col("e") - F.col("shift"), F.lit(False))
@@ -275,10 +338,7 @@ def removals(docs: DataFrame) -> DataFrame:
     )).where(F.col("e") - F.col("s") >= MIN_WORDS).withColumn("of_s", F.col("s") - F.col("shift"))
 
     grams = firsts.join(around.select("rid", "s", "e", "grams"), ["rid", "s", "e"]).select("h", "grams")
-    pairs = met.join(grams, "h").join(grams.select(F.col("h").alias("other"), F.col("grams").alias("g2")), "other")
-    both = F.size(F.array_intersect("grams", "g2"))
-    near = pairs.where(both >= SIMILARITY * (F.size("grams") + F.size("g2") - both)).select("h", "other")
-    groups = shared.stage(shared.components(near, "h", "other"), "groups").select(F.col("node").alias("h"), "component")
+    groups = shared.stage(shared.components(near(met, grams), "h", "other"), "groups").select(F.col("node").alias("h"), "component")
     members = shared.stage(lines.join(groups, "h").select("component", "rid", "doc_id", "s", "e"), "members")
     kept = members.groupBy("component").agg(F.min(F.struct("doc_id", "rid", "s")).alias("f"))
     whole = members.join(kept, "component").where("rid != f.rid OR s != f.s").select(

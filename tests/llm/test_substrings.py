@@ -101,3 +101,37 @@ def test_cut():
     assert S.cut("a b  c\nd e", [(1, 3)]) == "a d e"
     assert S.cut(" a b", [(0, 2)]) == " "
     assert S.cut("é b ü", [(2, 3), (0, 1)]) == "b "
+
+
+def test_all_members_of_a_band_are_compared(spark):
+    """Chains of edits whose ends differ: whichever hash is lowest or highest, each links to its neighbours."""
+    texts, rows = {}, 0
+    for size in (12, 150):  # compared as pairs, and in blocks
+        words = say(100).split()
+        for _ in range(size):
+            words = list(words)
+            words[rng.randrange(10, 90)] = say(1)
+            texts[rows], rows = " ".join(words), rows + 1
+    sets = {k: np.unique(S.shingle_hashes(S.word_codes(S.split(t)))).view("i8") for k, t in texts.items()}
+    keyed = [(k, int(k >= 12)) for k in texts]
+    met = S.crowded(spark.createDataFrame(keyed, "h long, k long"))
+    grams = spark.createDataFrame([(k, g.tolist()) for k, g in sets.items()], "h long, grams array<long>")
+    groups = {r.node: r.component for r in shared.components(S.near(met, grams), "h", "other").collect()}
+    assert groups == {k: 12 * (k >= 12) for k in texts}
+    for i, j in ((0, 11), (12, 161)):
+        assert len(np.intersect1d(sets[i], sets[j])) < 0.8 * len(np.union1d(sets[i], sets[j]))
+
+
+def test_near_pairs_away_from_the_ends_of_a_band(spark):
+    base = say(100).split()
+    texts = {0: " ".join(base)}
+    for k in range(1, 60):
+        words = list(base)
+        for i in rng.sample(range(5, 95), 2):
+            words[i] = say(1)
+        texts[k] = " ".join(words)
+    h = {k: S.units_of(t) for k, t in texts.items()}
+    bands = {k: set(u["bands"].tolist()) for k, u in h.items()}
+    linked = {k for k in texts if k and bands[k] & bands[0]}
+    spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert linked <= {r.doc_id for r in spans if (r.s, r.e) == (0, 100)}
