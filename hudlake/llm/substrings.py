@@ -51,8 +51,14 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2)
     return bands, rows
 
 
+def multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(17).integers(1, 1 << 62, n, dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
 BANDS, ROWS = tune()
-MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 62, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = multipliers(BANDS * ROWS)
+DOC_BANDS, DOC_ROWS = tune(recall=0.999, rows=3)
+DOC_MULTIPLIERS = multipliers(DOC_BANDS * DOC_ROWS)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -278,6 +284,48 @@ def near(met: DataFrame, grams: DataFrame) -> DataFrame:
     return found.union(many.join(grams, "h").groupBy("k", "a", "b").applyInArrow(run, "h long, other long")).distinct()
 
 
+def document_keys(h: np.ndarray) -> np.ndarray:
+    """Band keys of a whole document, of its shingle hashes; none without shingles."""
+    if not len(h):
+        return np.zeros(0, "u8")
+    low = [np.array([mix(h * m).min()], "u8") for m in DOC_MULTIPLIERS]
+    return np.concatenate([fold([*low[b * DOC_ROWS : (b + 1) * DOC_ROWS], np.full(1, b, "u8")]) for b in range(DOC_BANDS)])
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, component): documents whose shingle sets have Jaccard similarity ``SIMILARITY``, linked into components.
+
+    Equal sequences of words are one document; those of fewer words than a shingle link with nothing else.
+    """
+
+    def keys():
+        def work(columns):
+            rid, doc_id, texts = columns
+            codes = [word_codes(split(x or "")) for x in texts]
+            return {
+                "rid": rid, "doc_id": doc_id, "h": np.array([word_hash(c) for c in codes], "u8").view("i8"),
+                "bands": [document_keys(shingle_hashes(c)).view("i8") for c in codes],
+            }
+
+        return work
+
+    def sets():
+        def work(columns):
+            h, texts = columns
+            return {"h": h, "grams": [np.unique(shingle_hashes(word_codes(split(x or "")))).view("i8") for x in texts]}
+
+        return work
+
+    keyed = docs.select(row_hash().alias("rid"), F.col("doc_id").cast("long"), "text")
+    staged = shared.stage(shared.map_rows(keyed, keys, "rid long, doc_id long, h long, bands array<long>"), "documents")
+    met = shared.stage(crowded(staged.select("h", F.explode("bands").alias("k")).distinct()), "met")
+    first = staged.join(met.select("h").distinct(), "h").groupBy("h").agg(F.min("rid").alias("rid"))
+    texts = keyed.select("rid", "text").join(first, "rid").select("h", "text")
+    grams = shared.stage(shared.map_rows(texts, sets, "h long, grams array<long>").dropDuplicates(["h"]), "grams")
+    groups = shared.stage(shared.components(near(met, grams), "h", "other"), "groups").withColumnRenamed("node", "h")
+    return staged.select("rid", "doc_id", "h").join(groups, "h", "left").select("rid", "doc_id", F.coalesce("component", "h").alias("component"))
+
+
 def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, s, e, left, right, grams) for wanted (rid, s, e, whole): codes of the words before s, nearest
     first, and from e on, ``REACH`` each; for whole ones the distinct shingle hashes between."""

@@ -98,3 +98,28 @@ def test_repeated_rows_leave_one(spark, corpus):
 
 def test_simhash_keys_of_hashes():
     assert simhash.signed(1 << 63) == -(1 << 63)
+
+
+def test_near_documents_leave_one(spark, corpus):
+    """Edited copies of five-word similarity 0.8 and more go, less similar ones stay, against all pairs by brute force."""
+    texts = {}
+    for g in range(20):
+        base = say(200).split()
+        for k, edits in enumerate((0, 1, 3, 12, 40)):
+            words = list(base)
+            for i in rng.sample(range(200), edits):
+                words[i] = f"edit{g}x{k}x{i}"
+            texts[10 * g + k] = " ".join(words)
+    texts |= {500: "one two", 501: "One  two", 502: "two one", 503: None, 504: ""}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = {k: shingles((t or "").lower().split()) for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            same = (texts[a] or "").lower().split() == (texts[b] or "").lower().split()
+            if root[a] != root[b] and (same or sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame([(k, t, "en", "a", 3) for k, t in texts.items()], SCHEMA)
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, corpus[0]).collect()} == set(root.values())
+    assert len(set(root.values())) < len(texts) - 40
