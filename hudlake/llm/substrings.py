@@ -11,7 +11,9 @@ parts of different lines, so the unit for them is a block of ``BLOCK`` words. Bl
 every window of ``REACH`` consecutive places contributes the place whose 5-word shingle hashes
 lowest, so two copies of a passage always share an anchored block inside it. Blocks that occur again
 are joined to their first occurrence; those that touch at the same distance become one run, and runs
-are extended word by word, ``REACH`` words to both sides, against the first occurrence. Runs of at least
+are extended word by word, ``REACH`` words to both sides, against the first occurrence. Other holders of a
+block may share more with each other than with its first occurrence: the windows of ``MIN_WORDS`` words
+around a run that leave what the first occurrence shares are matched by their hashes. Runs of at least
 ``MIN_WORDS`` words are removals.
 
 The first occurrence, by (doc_id, row hash, place), always stays. Words are runs of non-white-space
@@ -183,29 +185,37 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def runs(staged: DataFrame) -> DataFrame:
-    """(rid, doc_id, s, e, of_rid, of_doc_id, shift): runs of blocks that repeat their first occurrence.
+    """(rid, doc_id, s, e, of_rid, of_doc_id, shift, crowd): runs of blocks that repeat their first occurrence.
 
-    Words s..e of the row are words s - shift..e - shift of the other.
+    Words s..e of the row are words s - shift..e - shift of the other; ``crowd`` tells that a block has more holders.
     """
     blocks = staged.select("rid", "doc_id", F.explode(F.arrays_zip("b_start", "b_hash")).alias("b")).select(
         "rid", "doc_id", F.col("b.b_start").alias("start"), F.col("b.b_hash").alias("h")
     )
     first = blocks.groupBy("h").agg(F.min(F.struct("doc_id", "rid", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h", F.col("f.doc_id").alias("of_doc_id"), F.col("f.rid").alias("of_rid"), F.col("f.start").alias("of_start"))
+    first = first.select("h", (F.col("n") > 2).alias("crowd"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.rid").alias("of_rid"), F.col("f.start").alias("of_start"))
     again = blocks.join(first, "h").where("rid != of_rid OR start != of_start").select(
-        "rid", "doc_id", "start", "of_rid", "of_doc_id", (F.col("start") - F.col("of_start")).alias("shift")
+        "rid", "doc_id", "start", "of_rid", "of_doc_id", (F.col("start") - F.col("of_start")).alias("shift"), "crowd"
     ).distinct()
-    return touching(again.select("rid", "doc_id", F.col("start").alias("s"), (F.col("start") + BLOCK).alias("e"), "of_rid", "of_doc_id", "shift"))
+    return touching(again.select("rid", "doc_id", F.col("start").alias("s"), (F.col("start") + BLOCK).alias("e"), "of_rid", "of_doc_id", "shift", "crowd"))
 
 
 def touching(spans: DataFrame) -> DataFrame:
-    """Spans (rid, doc_id, s, e, of_rid, of_doc_id, shift) of the same copy and shift that touch or overlap, as one."""
+    """Spans (rid, doc_id, s, e, of_rid, of_doc_id, shift, crowd) of the same copy and shift that touch or overlap, as one."""
     order = Window.partitionBy("rid", "of_rid", "shift").orderBy("s", "e")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     numbered = spans.withColumn("new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     return numbered.groupBy("rid", "of_rid", "shift", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.first("of_doc_id").alias("of_doc_id"), F.min("s").alias("s"), F.max("e").alias("e")
-    ).select("rid", "doc_id", "s", "e", "of_rid", "of_doc_id", "shift")
+        F.first("doc_id").alias("doc_id"), F.first("of_doc_id").alias("of_doc_id"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("crowd").alias("crowd")
+    ).select("rid", "doc_id", "s", "e", "of_rid", "of_doc_id", "shift", "crowd")
+
+
+def covered(spans: DataFrame) -> DataFrame:
+    """(rid, from, to): the words that spans cover, whatever they are copies of, as disjoint intervals."""
+    order = Window.partitionBy("rid").orderBy("s", "e")
+    reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(order))
+    return numbered.groupBy("rid", "part").agg(F.min("s").alias("from"), F.max("e").alias("to")).drop("part")
 
 
 def paragraphs(staged: DataFrame) -> DataFrame:
@@ -326,31 +336,71 @@ def near_documents(docs: DataFrame) -> DataFrame:
     return staged.select("rid", "doc_id", "h").join(groups, "h", "left").select("rid", "doc_id", F.coalesce("component", "h").alias("component"))
 
 
+def windows(s: int, e: int, words: int) -> np.ndarray:
+    """Starts of the windows of ``MIN_WORDS`` words, in a text of so many, that hold a block of s..e and words outside."""
+    w = np.arange(max(0, s + BLOCK - MIN_WORDS), min(e - BLOCK, words - MIN_WORDS) + 1)
+    return w[(w < s) | (w + MIN_WORDS > e)]
+
+
+def window_hashes(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (fold([h[w + SHINGLE * k] for k in range(MIN_WORDS // SHINGLE)]) if len(w) else np.zeros(0, "u8")).view("i8")
+
+
+def elsewhere(found: DataFrame, around: DataFrame) -> DataFrame:
+    """Windows beside runs that repeat in other places than the run's first occurrence, as spans.
+
+    ``found`` has the windows of each run that leave what its first occurrence shares; they are compared, by
+    hash, with each other and with the windows beside first occurrences.
+    """
+    opened = F.explode(F.arrays_zip("w", "w_hash")).alias("x")
+    ours = found.select("rid", "doc_id", opened).select("rid", "doc_id", F.col("x.w").alias("s"), F.col("x.w_hash").alias("h"))
+    theirs = found.where(F.size("w") > 0).select(F.col("of_rid").alias("rid"), F.col("of_doc_id").alias("doc_id"), F.col("os").alias("s"), F.col("oe").alias("e")).distinct()
+    theirs = theirs.join(with_windows(around.where("crowd")), ["rid", "s", "e"]).select("rid", "doc_id", opened).select("rid", "doc_id", "x.w", "x.w_hash")
+    first = ours.union(theirs).groupBy("h").agg(F.min(F.struct("doc_id", "rid", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("h", F.col("f.rid").alias("of_rid"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.s").alias("of_s"))
+    again = ours.join(first, "h").where(f"rid != of_rid OR s - of_s >= {MIN_WORDS}")
+    return again.select("rid", "doc_id", "s", (F.col("s") + MIN_WORDS).alias("e"), "of_rid", "of_doc_id", (F.col("s") - F.col("of_s")).alias("shift"), F.lit(True).alias("crowd"))
+
+
+def with_windows(spots: DataFrame) -> DataFrame:
+    """``spots`` with ``w``, the starts of their windows as ``windows`` has them."""
+    low, high = f"greatest(0, s - {MIN_WORDS - BLOCK})", f"least(e - {BLOCK}, words - {MIN_WORDS})"
+    every = f"CASE WHEN crowd AND {low} <= {high} THEN sequence({low}, {high}) ELSE cast(array() AS array<int>) END"
+    return spots.withColumn("w", F.expr(f"filter({every}, w -> w < s OR w + {MIN_WORDS} > e)"))
+
+
 def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, s, e, left, right, grams) for wanted (rid, s, e, whole): codes of the words before s, nearest
-    first, and from e on, ``REACH`` each; for whole ones the distinct shingle hashes between."""
-    asked = wanted.groupBy("rid", "s", "e").agg(F.max("whole").alias("whole")).groupBy("rid").agg(
-        F.collect_list(F.struct("s", "e", "whole")).alias("asked")
+    """(rid, s, e, left, right, grams, crowd, words, w_hash) for wanted (rid, s, e, whole, crowd): codes of the words before s,
+    nearest first, and from e on, ``REACH`` each; for whole ones the distinct shingle hashes between; for crowded
+    ones the hashes of the windows of ``MIN_WORDS`` words that share a block with s..e and leave it.
+    ``words`` is the length of the text."""
+    asked = wanted.groupBy("rid", "s", "e").agg(F.max("whole").alias("whole"), F.max("crowd").alias("crowd")).groupBy("rid").agg(
+        F.collect_list(F.struct("s", "e", "whole", "crowd")).alias("asked")
     )
     texts = docs.select(row_hash().alias("rid"), "text").join(asked, "rid")
 
     def make():
         def work(columns):
-            out = {k: [] for k in ("rid", "s", "e", "left", "right", "grams")}
+            out = {k: [] for k in ("rid", "s", "e", "left", "right", "grams", "crowd", "words", "w_hash")}
             for rid, text, spots in zip(*columns):
                 codes = word_codes(split(text or ""))
                 h = shingle_hashes(codes)
                 small = codes.astype("u4").view("i4")
-                for spot in spots:
+                near = [windows(x["s"], x["e"], len(codes)) if x["crowd"] else codes[:0].view("i8") for x in spots]
+                hashes = np.split(window_hashes(h, np.concatenate(near)), np.cumsum([len(w) for w in near])[:-1])
+                for spot, w_hash in zip(spots, hashes):
                     s, e = spot["s"], spot["e"]
                     grams = np.unique(h[s : e - SHINGLE + 1]).view("i8") if spot["whole"] else None
-                    for k, v in zip(out, (rid, s, e, small[max(0, s - REACH) : s][::-1], small[e : e + REACH], grams)):
+                    around = small[max(0, s - REACH) : s][::-1], small[e : e + REACH]
+                    for k, v in zip(out, (rid, s, e, *around, grams, spot["crowd"], len(codes), w_hash)):
                         out[k].append(v)
             return out
 
         return work
 
-    return shared.map_rows(texts, make, "rid long, s int, e int, left array<int>, right array<int>, grams array<long>").dropDuplicates(["rid", "s", "e"])
+    return shared.map_rows(
+        texts, make, "rid long, s int, e int, left array<int>, right array<int>, grams array<long>, crowd boolean, words int, w_hash array<long>"
+    ).dropDuplicates(["rid", "s", "e"])
 
 
 def same_length(a: str, b: str) -> str:
@@ -371,19 +421,28 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = paragraphs(staged)
     names = met.select("h").distinct()
     firsts = shared.stage(lines.join(names, "h").groupBy("h").agg(F.min(F.struct("doc_id", "rid", "s", "e")).alias("f")).select("h", "f.*"), "firsts")
-    wanted = found.select("rid", "s", "e", F.lit(False).alias("whole")).union(
-        found.select("of_rid", F.col("s") - F.col("shift"), F.col("e") - F.col("shift"), F.lit(False))
-    ).union(firsts.select("rid", "s", "e", F.lit(True)))
+    wanted = found.select("rid", "s", "e", F.lit(False).alias("whole"), "crowd").union(
+        found.select("of_rid", F.col("s") - F.col("shift"), F.col("e") - F.col("shift"), F.lit(False), "crowd")
+    ).union(firsts.select("rid", "s", "e", F.lit(True), F.lit(False)))
     around = shared.stage(looked_up(docs, wanted), "around")
 
-    ours = around.select("rid", "s", "e", F.col("left").alias("l1"), F.col("right").alias("r1"))
+    ours = around.select("rid", "s", "e", F.col("left").alias("l1"), F.col("right").alias("r1"), "words", "w_hash")
     theirs = around.select(F.col("rid").alias("of_rid"), F.col("s").alias("os"), F.col("e").alias("oe"), F.col("left").alias("l2"), F.col("right").alias("r2"))
-    passages = found.withColumn("os", F.col("s") - F.col("shift")).withColumn("oe", F.col("e") - F.col("shift")).join(ours, ["rid", "s", "e"]).join(
+    matched = found.withColumn("os", F.col("s") - F.col("shift")).withColumn("oe", F.col("e") - F.col("shift")).join(ours, ["rid", "s", "e"]).join(
         theirs, ["of_rid", "os", "oe"]
     ).withColumn("before", F.expr(same_length("l1", "l2"))).withColumn("after", F.expr(same_length("r1", "r2")))
-    passages = touching(passages.select(
-        "rid", "doc_id", (F.col("s") - F.col("before")).alias("s"), (F.col("e") + F.col("after")).alias("e"), "of_rid", "of_doc_id", "shift"
-    )).where(F.col("e") - F.col("s") >= MIN_WORDS).withColumn("of_s", F.col("s") - F.col("shift"))
+    left_over = f"filter(arrays_zip(w, w_hash), x -> x.w < s - before OR x.w + {MIN_WORDS} > e + after)"
+    matched = with_windows(matched).withColumn("x", F.expr(left_over)).select(
+        "rid", "doc_id", "s", "e", "before", "after", "of_rid", "of_doc_id", "os", "oe", "shift", "crowd", F.col("x.w").alias("w"), F.col("x.w_hash").alias("w_hash")
+    )
+    matched = shared.stage(matched, "matched")
+    direct = touching(matched.select(
+        "rid", "doc_id", (F.col("s") - F.col("before")).alias("s"), (F.col("e") + F.col("after")).alias("e"), "of_rid", "of_doc_id", "shift", "crowd"
+    )).where(F.col("e") - F.col("s") >= MIN_WORDS)
+    direct = shared.stage(direct, "passages")
+    within = [F.col("w.rid") == F.col("c.rid"), F.col("c.from") <= F.col("w.s"), F.col("w.e") <= F.col("c.to")]
+    rest = elsewhere(matched, around).alias("w").join(covered(direct).alias("c"), within, "left_anti")
+    passages = touching(direct.union(rest)).withColumn("of_s", F.col("s") - F.col("shift"))
 
     grams = firsts.join(around.select("rid", "s", "e", "grams"), ["rid", "s", "e"]).select("h", "grams")
     groups = shared.stage(shared.components(near(met, grams), "h", "other"), "groups").select(F.col("node").alias("h"), "component")

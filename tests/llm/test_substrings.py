@@ -135,3 +135,23 @@ def test_near_pairs_away_from_the_ends_of_a_band(spark):
     linked = {k for k in texts if k and bands[k] & bands[0]}
     spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert linked <= {r.doc_id for r in spans if (r.s, r.e) == (0, 100)}
+
+
+def test_passages_around_phrases_seen_earlier(spark):
+    """All blocks of a passage occur earlier, apart: its later copies are removed all the same, and equal lines too."""
+    texts, wanted = {}, {}
+    for g in range(25):
+        one, two = say(30), say(30)
+        for k, middle in enumerate((f"{one} {say(40)}", f"{two} {say(40)}", f"{say(9)} {one} {two} {say(9)}", f"{say(20)} {one} {two} {say(7)}")):
+            texts[10 * g + k] = f"{say(40)} {middle} {say(40)}"
+        wanted[10 * g + 3] = (60, 120)
+    phrase = say(25)
+    for g in range(25):
+        line = f"{say(14)} {phrase} {say(13)}"
+        texts |= {1000 + 10 * g + k: f"{say(30)}\n{line}\n{say(30)}" for k in range(2)}
+        wanted[1001 + 10 * g] = (30, 82)
+    spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    words = {k: t.split() for k, t in texts.items()}
+    for r in spans:
+        assert r.e - r.s >= 50 and words[r.doc_id][r.s : r.e] == words[r.of_doc_id][r.of_s : r.of_s + r.e - r.s]
+    assert {r.doc_id: (r.s, r.e) for r in spans} == wanted and len(spans) == len(wanted)
