@@ -100,25 +100,32 @@ def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
 def anchors(h: np.ndarray, places: int) -> np.ndarray:
     """Of the first ``places`` places, those with the lowest hash of some window of ``REACH`` places.
 
-    Equal hashes closer together than ``REACH``, as in periodic text, are thinned to one in each ``REACH``.
+    Where a block overlaps with equal ones on both sides, as in periodic text, one in each ``REACH`` stays.
     """
     if places < 1:
         return np.zeros(0, "i8")
-    h = h[:places]
+    whole, h = h, h[:places]
     if places <= REACH:
-        return np.array([int(h.argmin())])
-    low = sliding(h, REACH, np.minimum)
-    top = np.concatenate([np.zeros(REACH - 1, "u8"), low, np.zeros(REACH - 1, "u8")])
-    at = np.flatnonzero(sliding(top, REACH, np.maximum) == h)
-    order = np.lexsort((at, h[at]))
-    at, value = at[order], h[at][order]
-    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] - at[:-1] >= REACH)])
+        at = np.flatnonzero(h == h.min())
+    else:
+        low = sliding(h, REACH, np.minimum)
+        top = np.concatenate([np.zeros(REACH - 1, "u8"), low, np.zeros(REACH - 1, "u8")])
+        at = np.flatnonzero(sliding(top, REACH, np.maximum) == h)
+    value = block_hashes(whole, at)
+    order = np.lexsort((at, value))
+    at, value = at[order], value[order]
+    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] - at[:-1] >= BLOCK)])
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
     step = (at - at[start]) // REACH
-    keep = fresh | np.concatenate([[True], step[1:] != step[:-1]])
+    keep = fresh | np.concatenate([fresh[1:], [True]]) | np.concatenate([[True], step[1:] != step[:-1]])
     return np.sort(at[keep])
 
 
+def block_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the blocks at the places, of the shingle hashes."""
+    return fold([h[at + SHINGLE * k] for k in range(BLOCK // SHINGLE)]) if len(at) else np.zeros(0, "u8")
+
+
 def split(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode("utf-8", "replace").lower().split(b"\n")]
 
@@ -143,9 +150,8 @@ def units_of(text: str | None) -> dict[str, np.ndarray]:
         for b in range(BANDS):
             bands[:, b] = fold([low[:, b * ROWS + r] for r in range(ROWS)] + [np.full(len(starts), b, "u8")])
         line_hash = np.array([word_hash(codes[s : s + n]) for s, n in zip(starts, sizes)], "u8")
-    parts = BLOCK // SHINGLE
     return {
-        "b_start": at, "b_hash": fold([h[at + SHINGLE * k] for k in range(parts)]) if len(at) else np.zeros(0, "u8"),
+        "b_start": at, "b_hash": block_hashes(h, at),
         "l_start": starts, "l_len": sizes, "l_hash": line_hash, "bands": bands.ravel(),
     }
 

@@ -155,3 +155,35 @@ def test_passages_around_phrases_seen_earlier(spark):
     for r in spans:
         assert r.e - r.s >= 50 and words[r.doc_id][r.s : r.e] == words[r.of_doc_id][r.of_s : r.of_s + r.e - r.s]
     assert {r.doc_id: (r.s, r.e) for r in spans} == wanted and len(spans) == len(wanted)
+
+
+def test_refrains_before_a_copy_leave_its_anchors(spark):
+    """A few words inside a passage that also stand just before one copy of it cost no shared block."""
+    for _ in range(300):
+        p, refrain = say(S.MIN_WORDS + 2).split(), say(6)
+        at = rng.randint(5, 40)
+        p[at : at + 6] = refrain.split()
+        p = " ".join(p)
+        a = S.units_of(f"{say(40)} {p} {say(40)}")
+        b = S.units_of(f"{say(40)} {refrain} {say(rng.randint(0, 3))} {p} {say(40)}".replace("  ", " "))
+        assert set(a["b_hash"].tolist()) & set(b["b_hash"].tolist())
+
+
+def test_copies_at_periodic_stretches(spark):
+    """A passage that ends or begins in periodic text, longer beside one of its copies."""
+    texts, wanted = {}, {}
+    for g in range(30):
+        beat = say(rng.randint(1, 9)).split()
+        n = rng.randint(24, 45)
+        tail, other = (beat * 60)[:n], say(52 - n).split()
+        if g % 2:
+            texts |= {2 * g: f"{say(40)} {' '.join(other + (beat * 60)[:n + 60])} {say(40)}", 2 * g + 1: f"{say(40)} {' '.join(other + tail)} {say(40)}"}
+        else:
+            back = (beat * 60)[-n - 60 :]
+            texts |= {2 * g: f"{say(40)} {' '.join(back + other)} {say(40)}", 2 * g + 1: f"{say(40)} {' '.join(back[-n:] + other)} {say(40)}"}
+        wanted[2 * g + 1] = set(range(40, 92))
+    spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    gone = {}
+    for r in spans:
+        gone.setdefault(r.doc_id, set()).update(range(r.s, r.e))
+    assert all(wanted[k] <= gone.get(k, set()) for k in wanted)
