@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that Python turns into objects at a time.
-SLICE_ROWS = 256
+#: Rows, and bytes of texts, of one Arrow batch that Python turns into objects at a time. A batch itself is held
+#: to ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) by Spark.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Classes of hashes by which a sample's bound is worked out.
+SAMPLE_CLASSES = 1 << 12
+
+
+@cache
+def own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="hudlake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees; a temporary one only where unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which every executor sees.
+
+    Where that is unset, a local master, all of whose threads see one disk, gets a temporary folder that ends
+    with the process; a cluster gets a folder in the warehouse. The session's settings are left alone.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="hudlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        base = own_folder() if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/hudlake-stages"
     return base.rstrip("/")
 
 
@@ -39,11 +58,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete a staged table that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it; Spark compares without case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
+    """Parts of an Arrow batch of at most ``rows`` rows, and of ``size`` bytes of texts or one row each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = np.zeros(batch.num_rows, "i8")
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(held), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +96,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """Run a Python function over column lists, ``rows`` rows at a time.
+    """Run a Python function over column lists, ``rows`` rows and ``SLICE_BYTES`` of texts at a time.
 
     ``make`` is called once a task and returns the function, so that caches live as long as the
     task; the function gets one list per column of ``df`` and returns lists by output column.
@@ -67,8 +112,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str,
         arrow = to_arrow_schema(target)
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = work([c.to_pylist() for c in part.columns])
                 arrays = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -82,38 +126,43 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def hash_sample(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
-    """The ``rows`` rows of the smallest hash of their first ``order`` column, ties by all of them.
+    """The ``rows`` rows of the smallest hash of their first ``order`` column, ties by all of them; all rows if there are no more.
 
-    The hash bound that about twice as many rows stay under is worked out from the row count first, so
-    that a task has a few rows to offer to the final choice, and not ``rows`` of them.
+    Rows are counted by the leading bits of the hash first. Those of the classes that lie wholly behind the
+    ``rows``-th row cannot be chosen and are left out, so that a task has few rows to offer to the choice.
     """
-    spread, n = 1 << 40, df.count()
-    mixed = F.pmod(F.xxhash64(order[0]), F.lit(spread))
-    if n > 2 * rows:
-        df = df.where(mixed < F.lit(int(spread * (2 * rows + 1000) / n)))
-    return df.orderBy(mixed, *order).limit(rows)
+    mixed = F.pmod(F.xxhash64(order[0]), F.lit(1 << 40))
+    part = F.floor(mixed / F.lit((1 << 40) // SAMPLE_CLASSES)).cast("int")
+    total, last = 0, SAMPLE_CLASSES
+    for r in sorted(df.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        total += r["count"]
+        if total >= rows:
+            last = r["part"]
+            break
+    return df.where(part <= last).orderBy(mixed, *order).limit(rows)
 
 
 def bounded_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, left: str = "u", right: str = "v", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     Returns (node, component) for every node with an edge to another node; component is the
     smallest node reachable. Each round is two aggregations and two joins; a hub's edges are
     reduced by partial aggregation before they move, and the join that hands the smallest
     neighbour back is an ordinary shuffle join that adaptive execution splits where it is skewed.
-    Rounds are written to the shared folder, so no lineage grows. Nothing is collected but one
-    count and one checksum a round.
+    Rounds are written to the shared folder, so no lineage grows, and go on until one changes nothing. Nothing
+    is collected but one count and one checksum a round.
     """
     e = edges.where(F.col(left) != F.col(right)).select(
         F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")
     )
     e = stage(e.distinct(), "edges")
     sign = _signature(e)
-    for _ in range(most_rounds):
+    before = None
+    while sign != before:
         both = e.select(F.col("hi").alias("n"), F.col("lo").alias("x")).union(e.select("lo", "hi"))
         least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
         large = both.where("x > n").join(least, "n").where("x != m").select(F.col("x").alias("hi"), F.col("m").alias("lo"))
@@ -121,13 +170,8 @@ def components(edges: DataFrame, left: str = "u", right: str = "v", most_rounds:
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(floor, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         fresh = stage(small.union(floor.select("hi", F.col("m").alias("lo"))).distinct(), "small")
-        drop_stage(large)
-        drop_stage(e)
+        drop_stage(large, e)
         e, before, sign = fresh, sign, _signature(fresh)
-        if sign == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tops = e.select(F.col("lo").alias("node")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         tops.select("node", F.col("node").alias("component"))

@@ -7,14 +7,17 @@ with little evidence either way are dropped; a logistic regression is trained on
 by ``r`` (Wang and Manning's NBSVM scheme). A score is the logistic of the weighted sum.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``FIT_ROWS`` of either class,
-those of the smallest hashes of their ids, never a held-out row. Their ids are what is broadcast, and
-their feature sets (at most ``2 ** BUCKET_BITS`` features each) are what reaches the driver. Labels
-decide nothing else; every whole text is scored.
+those of the smallest hashes of their ids, never a held-out row. Their ids are what is broadcast. Their
+feature sets are staged; presence is counted and features are chosen from the counts (one row for each
+of ``2 ** BUCKET_BITS`` buckets at most), and only the chosen features of the sample reach the driver.
+Labels decide nothing else; every whole text is scored.
 
 Defined cases: a null text counts as empty; an empty text has no features and gets the score of the
-intercept; repeated rows are scored alike; a null id is not held out; conflicting or repeated labels
-of an id count as examples of their own; without examples of both classes every score is 0; an empty
-table gives no rows; extra columns are ignored.
+intercept; repeated rows are scored alike; of rows that repeat a labelled id, one of the least text is
+learned from; a null id is not held out; conflicting or repeated labels of an id count as examples of
+their own; without examples of both classes every score is 0; a very long text is hashed alone; an
+empty table gives no rows; extra columns are carried through, and one that has the name of the score
+column is replaced by it (callers that need both give another name).
 """
 
 from __future__ import annotations
@@ -104,36 +107,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -40, 40)))
 
 
-def fit(sets: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Log-count ratios, then logistic regression by accelerated gradient steps with an L2 penalty."""
-    size, toxic = 1 << BUCKET_BITS, np.asarray(toxic, bool)
+def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-count ratio of each feature, from the numbers of texts that hold it; 0 where there is little evidence."""
+    p, q = toxic + SMOOTHING, clean + SMOOTHING
+    out = np.log(p / (n_toxic + 2 * SMOOTHING)) - np.log(q / (n_clean + 2 * SMOOTHING))
+    out[(toxic + clean < LEAST_TEXTS) | (np.abs(out) < LEAST_RATIO)] = 0
+    return out
+
+
+NEVER = -40.0
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression on the features scaled by their ratios, by accelerated gradient steps with an L2 penalty.
+
+    ``flat`` holds the buckets of all texts, ``sizes`` how many each text has; buckets of ratio 0 are not among them.
+    """
+    toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(size, "f4"), -40.0)
-    lengths = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets).astype("i4")
-    of = np.repeat(np.arange(len(sets)), lengths)
-    p = np.bincount(flat[toxic[of]], minlength=size) + SMOOTHING
-    q = np.bincount(flat[~toxic[of]], minlength=size) + SMOOTHING
-    ratio = np.log(p / (toxic.sum() + 2 * SMOOTHING)) - np.log(q / ((~toxic).sum() + 2 * SMOOTHING))
-    ratio[(p + q - 2 * SMOOTHING < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    use = ratio[flat] != 0
-    flat, of = flat[use], of[use]
+        return Model(np.zeros(len(ratio), "f4"), NEVER)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     names, column = np.unique(flat, return_inverse=True)
     values = ratio[names]
     x = values[column]
-    y, n, m = toxic.astype("f8"), len(sets), len(names)
+    y, n, m = toxic.astype("f8"), len(sizes), len(names)
     w, b = np.zeros(m), 0.0
     look, look_b, momentum = w.copy(), b, 1.0
     step = 4.0 / (np.bincount(of, weights=x * x, minlength=n).max(initial=1.0) + 1)
     for _ in range(ROUNDS):
         margin = np.bincount(of, weights=x * look[column], minlength=n) + look_b
-        off = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y
+        off = 1 / (1 + np.exp(-np.clip(margin, NEVER, -NEVER))) - y
         new = look - step * (np.bincount(column, weights=x * off[of], minlength=m) / n * 50 + PENALTY * look / n)
         new_b = look_b - step * off.mean() * 50
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look, look_b = new + (momentum - 1) / grown * (new - w), new_b + (momentum - 1) / grown * (new_b - b)
         w, b, momentum = new, new_b, grown
-    weights = np.zeros(size, "f4")
+    weights = np.zeros(len(ratio), "f4")
     weights[names] = values * w
     return Model(weights, float(b))
 
@@ -145,24 +154,44 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None) -> Model:
     """Fit on labelled rows of ``docs`` for which ``learn``, by default those not held out, is true."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
-    known = labels.where(F.col("doc_id").isNotNull() & learn).select("doc_id", "toxic")
-    chosen = shared.hash_sample(known.where("toxic = 1"), FIT_ROWS, ["doc_id"]).union(
+    known = labels.where(F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").cast("long"), "toxic")
+    chosen = shared.stage(shared.hash_sample(known.where("toxic = 1"), FIT_ROWS, ["doc_id"]).union(
         shared.hash_sample(known.where("toxic = 0"), FIT_ROWS, ["doc_id"])
-    )
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    ), "chosen")
+    ids = F.broadcast(chosen.select("doc_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
+    examples = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
     def make():
-        return lambda columns: {"toxic": columns[0], "buckets": [s.tobytes() for s in feature_sets(columns[1])]}
-
-    rows = shared.map_rows(examples, make, "toxic int, buckets binary").collect()
-    return fit([np.frombuffer(r.buckets, "i4") for r in rows] or [np.zeros(0, "i4")], np.array([r.toxic for r in rows] or [0]))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score, from column ``text`` alone."""
+        return lambda columns: {"toxic": columns[0], "buckets": feature_sets(columns[1])}
+
+    sets = shared.stage(shared.map_rows(examples, make, "toxic int, buckets array<int>"), "features")
+    size = 1 << BUCKET_BITS
+    of_class = {r.toxic: r["count"] for r in sets.groupBy("toxic").count().collect()}
+    ratio = np.zeros(size)
+    if of_class.get(0) and of_class.get(1):
+        counts = sets.select("toxic", F.explode("buckets").alias("k")).groupBy("k").agg(
+            F.sum("toxic").cast("int").alias("p"), F.sum(1 - F.col("toxic")).cast("int").alias("q")
+        ).where(F.col("p") + F.col("q") >= LEAST_TEXTS).toArrow()
+        k, p, q = (counts.column(c).to_numpy() for c in ("k", "p", "q"))
+        ratio[k] = ratios(p, q, of_class[1], of_class[0])
+    useful = ratio != 0
+
+    def select():
+        return lambda columns: {"toxic": columns[0], "buckets": [x[useful[x]] for x in (np.array(b, "i4") for b in columns[1])]}
+
+    found = shared.map_rows(sets, select, "toxic int, buckets array<int>").toArrow()
+    shared.drop_stage(chosen, sets)
+    buckets_ = found.column("buckets").combine_chunks()
+    return fit(buckets_.flatten().to_numpy(), buckets_.value_lengths().to_numpy(), found.column("toxic").to_numpy(), ratio)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with column ``name``, the score, from column ``text`` alone."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    target = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    docs = docs.drop(name)
+    target = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
@@ -171,8 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         arrow = to_arrow_schema(target)
         for batch in batches:
-            for lo in range(0, batch.num_rows, shared.SLICE_ROWS):
-                part = batch.slice(lo, shared.SLICE_ROWS)
+            for part in shared.slices(batch):
                 found = model.score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], schema=arrow)
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from hudlake.llm import toxicity
+from hudlake.llm import shared, toxicity
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,53 @@ def test_scores_do_not_depend_on_slices():
         assert np.isclose(s, 1 / (1 + np.exp(-z)))
 
 
+def test_fit_against_a_plain_version():
+    """Ratios from sets of n-grams, and a regression by many plain gradient steps, give the same scores."""
+    rows = corpus(120)
+    sets, y = toxicity.feature_sets([t for _, t, _ in rows]), np.array([v for _, _, v in rows])
+    p, q = (np.bincount(np.concatenate([s for s, v in zip(sets, y) if v == c]), minlength=1 << toxicity.BUCKET_BITS) for c in (1, 0))
+    ratio = toxicity.ratios(p, q, int(y.sum()), int((1 - y).sum()))
+    for k in np.flatnonzero(p + q)[::997].tolist():
+        a, b = (sum(k in s for s, v in zip(sets, y) if v == c) for c in (1, 0))
+        want = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
+        assert np.isclose(ratio[k], want if a + b >= toxicity.LEAST_TEXTS and abs(want) >= toxicity.LEAST_RATIO else 0)
+    kept = [s[ratio[s] != 0] for s in sets]
+    model = toxicity.fit(np.concatenate(kept), np.array(list(map(len, kept))), y, ratio)
+    x = np.zeros((len(rows), len(ratio)), "f4")
+    for i, s in enumerate(kept):
+        x[i, s] = ratio[s]
+    x = x[:, ratio != 0].astype("f8")
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(4000):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.02 * (x.T @ off + toxicity.PENALTY / 50 * w) / len(y), b - 0.02 * off.mean()
+    plain = 1 / (1 + np.exp(-(x @ w + b)))
+    got = model.score([t for _, t, _ in rows])
+    assert ((plain >= 0.5) == y).all() and ((got >= 0.5) == y).all() and np.corrcoef(plain, got)[0, 1] > 0.98
+
+
+def test_samples_hold_repeated_ids(spark):
+    """The rows of the smallest hashes, whatever the number of rows of an id."""
+    rows = [(i, k) for i in range(6) for k in range(900)] + [(i, 0) for i in range(6, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, k long")
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).distinct().collect()}
+    want = sorted(rows, key=lambda r: (order[r[0]], *r))
+    for n in (1, 40, 1500, 20000):
+        assert sorted(map(tuple, shared.hash_sample(df, n, ["doc_id", "k"]).collect())) == sorted(want[:n])
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(i, t, 0.25) for i, t, _ in rows] + [(0, rows[0][1], 0.25)] * 40 + [(7000, "word " * 200_000, 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    plain = toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    assert np.array_equal(model.weights, plain.weights) and model.intercept == plain.intercept
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "score"] and got.count() == 241
+    assert toxicity.score(docs, model, "score_").where("score_ >= 0 AND score IN (0.25, 1.0)").count() == 241
+
+
 def corpus(n=600):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice(["an", "the", "re", "on", "st", "ing", "ou"]) for _ in range(rng.randint(1, 4)))
