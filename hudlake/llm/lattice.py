@@ -3,7 +3,10 @@
 The vocabulary file states a score per piece; in a byte-pair file the scores are negated merge ranks,
 which are turned into log probabilities by Zipf's law: a piece of rank r weighs 1 / (r + ``SHIFT``).
 Characters outside the vocabulary are spelled by byte pieces, each weighing as much as a piece after
-the last rank. A space is written as U+2581 in the file; a text's own U+2581 is not a space and is
+the last rank. One more event ends a text and weighs as much as a piece of rank ``END_RANK``, so that a
+text has some ``END_RANK * ln(pieces)`` pieces to be expected and the probabilities of all texts sum to
+1 at most. (They fall short by what spells no text: byte pieces out of order, or in place of pieces.)
+A space is written as U+2581 in the file; a text's own U+2581 is not a space and is
 spelled in bytes, so that decoding restores it. One space is put before every text, as the
 vocabulary's word-initial pieces expect, and taken off again by decoding.
 
@@ -11,7 +14,8 @@ No piece runs on from a non-space to a space or over a line feed, so the lattice
 into the lattices of its segments: runs of spaces with the word behind them. The distinct segments of
 a batch of texts get their lattices together, as arrays: pieces are found by rolling hashes of all
 substrings that begin some piece, and the forward recursion runs over all segments at a time, one
-place after another. Batches are bounded in characters (``BATCH_CHARS``).
+place after another. Batches are bounded in characters (``BATCH_CHARS``); a longer text is taken in
+parts, segment by segment, so that only a single segment (a word without a space) can exceed the bound.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from math import log
 
 import numpy as np
 
-SHIFT = 2.7
+SHIFT, END_RANK = 2.7, 50
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 250_000
 #: Rows that a worker takes up at a time: enough to fill a batch.
 BATCH_ROWS = 1024
 #: Segments whose probabilities are remembered between batches, and the longest of them.
-MOST_SEGMENTS, LONGEST_SEGMENT = 600_000, 64
+MOST_SEGMENTS, LONGEST_SEGMENT = 300_000, 64
 SLOTS = 20
 SPACE = "▁"
 
@@ -52,16 +56,18 @@ class Vocabulary:
         scores = {i: sp.get_score(i) for i in plain}
         usable = [i for i in plain if scores[i] > -1e8]
         ranks = {i: r for r, i in enumerate(sorted(usable, key=lambda i: -scores[i]))}
-        weight = {i: 1 / (r + SHIFT) for i, r in ranks.items()} | {i: 1 / (len(ranks) + SHIFT) for i in byte}
-        total = sum(weight.values())
-        self.size = size
-        self.pieces = {sp.id_to_piece(i).replace(SPACE, " "): (i, log(weight[i] / total)) for i in usable}
+        last = 1 / (len(ranks) + SHIFT)
+        shown = {sp.id_to_piece(i).replace(SPACE, " "): (i, 1 / (r + SHIFT)) for i, r in ranks.items()}
         for p in [" " * k for k in range(1, 17)]:  # runs of spaces stand at the end of the file with no merge rank
             i = sp.piece_to_id(p.replace(" ", SPACE))
-            if p not in self.pieces and sp.id_to_piece(i) == p.replace(" ", SPACE):
-                self.pieces[p] = (i, log(1 / (len(ranks) + SHIFT) / total))
+            if p not in shown and sp.id_to_piece(i) == p.replace(" ", SPACE):
+                shown[p] = (i, last)
+        end = 1 / (END_RANK + SHIFT)
+        total = sum(w for _, w in shown.values()) + 256 * last + end
+        self.size = size
+        self.pieces = {p: (i, log(w / total)) for p, (i, w) in shown.items()}
         self.byte_ids = byte
-        self.byte_log = log(weight[byte[0]] / total)
+        self.byte_log, self.end_log = log(last / total), log(end / total)
         self.bytes_of = [b""] * size
         for p, (i, _) in self.pieces.items():
             self.bytes_of[i] = p.encode()
@@ -184,18 +190,22 @@ def utf8_bytes(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes > 0x7F).astype("i8") + (codes > 0x7FF) + (codes > 0xFFFF)
 
 
-def batches(texts: list[str | None], most: int | None = None):
-    """Ranges of texts that hold ``BATCH_CHARS`` characters, or one text each."""
+def ranges(sizes: list[int]):
+    """Ranges of items that hold ``BATCH_CHARS`` characters together, or one item each."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         size, stop = 0, at
-        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= (most or BATCH_CHARS)):
-            size += len(texts[stop] or "")
+        while stop < len(sizes) and (stop == at or size + sizes[stop] <= BATCH_CHARS):
+            size += sizes[stop]
             stop += 1
         yield at, stop
         at = stop
 
 
+def segments(text: str | None) -> list[str]:
+    return SEGMENT.findall(" " + text) if text else []
+
+
 class Marginals(dict):
     """Log10 probability by segment."""
 
@@ -204,16 +214,16 @@ class Marginals(dict):
         self.vocabulary = v
 
     def texts(self, texts: list[str | None]) -> list[float]:
-        """Log10 of the probability of each text, summed over all its segmentations."""
+        """Log10 of the probability of each text and its end, summed over all its segmentations."""
         out: list[float] = []
-        for a, b in batches(texts):
-            cut = [SEGMENT.findall(" " + t) if t else [] for t in texts[a:b]]
+        for a, b in ranges([len(t or "") for t in texts]):
+            cut = [segments(t) for t in texts[a:b]]
             if len(self) > MOST_SEGMENTS:
                 self.clear()
             new = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in self]
-            found = dict(zip(new, (Lattices(self.vocabulary, new).marginals() / log(10)).tolist()))
-            self.update(found)
-            out += [float(sum(map(self.__getitem__, c))) for c in cut]
+            for i, j in ranges(list(map(len, new))):
+                self.update(zip(new[i:j], (Lattices(self.vocabulary, new[i:j]).marginals() / log(10)).tolist()))
+            out += [float(sum(map(self.__getitem__, c))) + self.vocabulary.end_log / log(10) for c in cut]
             for s in new:
                 if len(s) > LONGEST_SEGMENT:
                     del self[s]
@@ -242,20 +252,28 @@ class Sampler:
 
     def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[bytes]:
         """A drawn segmentation of each text, as little-endian unsigned 32-bit piece ids."""
-        return [x for a, b in batches(texts) for x in self._sample(texts[a:b], seeds[a:b])]
+        return [x for a, b in ranges([len(t or "") for t in texts]) for x in self._sample(texts[a:b], seeds[a:b])]
 
     def _sample(self, texts: list[str | None], seeds: np.ndarray) -> list[bytes]:
-        cut = [SEGMENT.findall(" " + t) if t else [] for t in texts]
+        cut = [segments(t) for t in texts]
         flat = [s for c in cut for s in c]
-        index = {s: i for i, s in enumerate(dict.fromkeys(flat))}
-        lattices = Lattices(self.vocabulary, list(index))
-        which = np.fromiter(map(index.__getitem__, flat), "i8", len(flat))
         sizes = np.array([len(c) for c in cut], "i8")
         seed, owner = np.repeat(seeds.astype("u8"), sizes), np.repeat(np.arange(len(texts)), sizes)
-        length = lattices.length[which]
+        length = np.fromiter(map(len, flat), "i8", len(flat))
         begin = np.concatenate([[0], np.cumsum(length)])
-        text_begin = begin[np.cumsum(sizes) - sizes]
-        start = begin[:-1] - text_begin[owner]  # of the segment in its text: a draw depends on seed and place alone
+        start = begin[:-1] - begin[np.cumsum(sizes) - sizes][owner]  # of the segment in its text: a draw depends on seed and place alone
+        drawn = [self._draw(flat[a:b], seed[a:b], start[a:b]) for a, b in ranges(length.tolist())]
+        ids, count = (np.concatenate(x) if x else np.zeros(0, "i8") for x in zip(*drawn)) if drawn else (np.zeros(0, "i8"),) * 2
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
+        ids, bounds = self.spell(ids, bounds)
+        ids = ids.astype("<u4")
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _draw(self, flat: list[str], seed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a drawn segmentation of each segment, one after another, and how many each has."""
+        index = {s: i for i, s in enumerate(dict.fromkeys(flat))}
+        lattices = Lattices(self.vocabulary, list(index))
+        which = np.fromiter(map(index.__getitem__, flat), "i8", len(flat))
         node, live, steps, keys = lattices.last[which], np.arange(len(flat)), [], lattices.keys()
         count = np.zeros(len(flat), "i8")
         while live.size:
@@ -274,10 +292,7 @@ class Sampler:
         ids = np.zeros(int(count.sum()), "i8")
         for k, (who, piece) in enumerate(steps):
             ids[behind[who] - 1 - k] = piece
-        bounds = np.concatenate([[0], behind])[np.concatenate([[0], np.cumsum(sizes)])]
-        ids, bounds = self.spell(ids, bounds)
-        ids = ids.astype("<u4")
-        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return ids, count
 
     def spell(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put byte pieces in the place of characters that are marked by their negated code points."""

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -34,15 +35,24 @@ def segmentations(text):
 
 
 def test_weights_are_probabilities():
-    total = sum(math.exp(w) for p, (_, w) in V.pieces.items()) + 256 * math.exp(V.byte_log)
-    assert abs(total - 1) < 1e-3
+    total = sum(math.exp(w) for p, (_, w) in V.pieces.items()) + 256 * math.exp(V.byte_log) + math.exp(V.end_log)
+    assert abs(total - 1) < 1e-9
     assert V.pieces[" the"][1] > V.pieces[" though"][1] > V.byte_log - 1e-9
 
 
 @pytest.mark.parametrize("text", ["a", "the cat", "  two", "é▁ b", "x\ny", "日本 ok", " "])
 def test_marginal_is_the_sum_over_all_segmentations(text):
     want = math.log10(sum(math.exp(lp) for _, lp in segmentations(" " + text)))
-    assert abs(lattice.Marginals(V).text(text) - want) < 1e-9
+    assert abs(lattice.Marginals(V).text(text) - want - V.end_log / math.log(10)) < 1e-9
+
+
+def test_probabilities_of_all_texts_sum_to_one_at_most():
+    """Of all texts of up to three of these letters: their sequences of pieces, counted one by one, have the same mass."""
+    letters = "aeinst \n"
+    texts = ["", *(a for a in letters), *(a + b for a in letters for b in letters), *(a + b + c for a in letters for b in letters for c in letters)]
+    mass = sum(10**x for x in lattice.Marginals(V).texts(texts))
+    ways = sum(math.exp(lp + V.end_log) for t in texts if t for _, lp in segmentations(" " + t)) + math.exp(V.end_log)
+    assert abs(mass - ways) < 1e-12 and math.exp(V.end_log) < mass < 1
 
 
 def test_samples_follow_the_segmentations():
@@ -91,6 +101,23 @@ def test_encode_and_decode(spark):
     again = {(r.doc_id, r.text): r.ids for r in pieces.encode(docs.repartition(3)).collect()}
     assert all(again[r.doc_id, r.text] == r.ids for r in rows)
     assert pieces.decode(pieces.encode(docs.limit(0))).collect() == []
+    want = {(r.doc_id, zlib.crc32(r.ids), r.n_pieces, hashlib.sha256(r.decoded.encode()).hexdigest(), True) for r in rows}
+    assert {(r.doc_id, r.ids_crc32, r.n_pieces, r.decoded_sha256, r.lossless) for r in pieces.round_trip(docs).collect()} == want
+
+
+def test_very_long_texts_are_taken_in_parts(monkeypatch):
+    text = " ".join(rare(i) for i in range(3000)) + "z" * 2000
+    whole, ids = lattice.Marginals(V).text(text), lattice.Sampler(V).sample([text], np.array([5]))
+    sizes = []
+    monkeypatch.setattr(lattice, "Lattices", lambda v, s, make=lattice.Lattices: sizes.append(sum(map(len, s))) or make(v, s))
+    monkeypatch.setattr(lattice, "BATCH_CHARS", 1000)
+    assert abs(lattice.Marginals(V).text(text) - whole) < 1e-6 * abs(whole)
+    assert lattice.Sampler(V).sample([text], np.array([5])) == ids and lattice.decode(V, ids[0]) == text
+    assert len([x for x in sizes if x > 1000]) == 2  # the long word alone, scored once and sampled once
+
+
+def rare(i):
+    return "".join(chr(97 + (i * 7919 + k * k * 31) % 26) for k in range(3 + i % 7))
 
 
 @pytest.mark.parametrize("hot", [0, 3, 1000])
