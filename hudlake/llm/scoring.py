@@ -1,7 +1,9 @@
 """Language-model scores: subword lattice likelihood, beside a word-unigram base.
 
-``score`` is the log10 of a text's probability under a unigram model over the vocabulary's pieces,
-summed over all segmentations by a forward recursion in log space (see ``lattice``).
+``score`` is the log10 of a text's probability, its end included, under a unigram model over the
+vocabulary's pieces, summed over all segmentations by a forward recursion in log space (see
+``lattice``). Its weights are those of the existing vocabulary: nothing in ``score`` comes from the
+training rows, which ``base_score`` alone learns from.
 
 ``base_score`` is an additive-smoothed word unigram over the counts of the training rows. Counts are
 added up inside each task, then shuffled by word. The words of the highest counts, at most
@@ -11,7 +13,7 @@ words are counted per row and joined to the counts by word, so every token gets
 
 Defined cases: a null text counts as empty (one token, the end); repeated rows are learned from and
 scored each; a null id is a training row; with no training rows every count is 0; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored; a very long text is scored in parts.
 """
 
 from __future__ import annotations
@@ -53,8 +55,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), "binary"), "n": pa.array(list(seen.values()), "int64")})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, shared.SLICE_ROWS):
-                part = batch.column(0).slice(lo, shared.SLICE_ROWS).to_pylist()
+            for piece in shared.slices(batch):
+                part = piece.column(0).to_pylist()
                 texts += len(part)
                 for t in part:
                     seen.update(tokens(t))
