@@ -17,8 +17,8 @@ with multiplicities, whose size depends on the number of lengths, not on the num
    room are one group, and a step fills as many of a group as there are items.
 
 Documents then take their places by rank within their length. Ranks are counted within
-(length, salt), with as many salts as the number of pieces asks for, so that a length which holds a
-third of all pieces is ranked by many tasks.
+(length, salt), with one salt for each ``RANK_ROWS`` pieces of the length, so that a length which holds
+a third of all pieces is ranked by many tasks, and there are no more groups than the pieces ask for.
 
 Defined cases: a null text counts as empty (one piece, the end id); repeated rows are packed as
 rows of their own; null ids are carried through; an empty table gives no rows; extra columns are
@@ -38,7 +38,7 @@ from hudlake.llm import shared, tokens
 
 SEQUENCE = 2048
 #: Pieces of one length that one task ranks.
-RANK_ROWS = 100_000
+RANK_ROWS = 1_000
 
 
 class Stock:
@@ -229,20 +229,21 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, size: str = "length") -> Da
     Only the histogram of lengths comes to the driver, at most ``sequence`` rows.
     """
     spark = items.sparkSession
-    total = items.count()
-    salts = max(1, -(-total // RANK_ROWS))
+    names = {n: shared.free_name(items.columns, n) for n in ("_salt", "_n", "_rank", "_shift", "_salts")}
+    salt, n, rank_, shift_, salts = names.values()
     others = [c for c in items.columns if c != size]
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    by_salt = salted.groupBy(size, "_salt").agg(F.count("*").alias("_n"))
-    counts = {r[0]: r[1] for r in by_salt.groupBy(size).agg(F.sum("_n")).collect()}
+    counts = {r[0]: r[1] for r in items.groupBy(size).count().collect()}
+    table = spark.createDataFrame([(k, -(-v // RANK_ROWS)) for k, v in counts.items()], f"`{size}` long, `{salts}` int")
+    salted = items.join(F.broadcast(table), size).select(*items.columns, F.pmod(F.xxhash64(*others), F.col(salts)).cast("int").alias(salt))
+    by_salt = salted.groupBy(size, salt).agg(F.count("*").alias(n))
     places = runs(plan(counts, sequence))
-    earlier = Window.partitionBy(size).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = by_salt.select(size, "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(*others)) - 1
-    ranked = salted.withColumn("_rank", rank).join(shift, [size, "_salt"]).select(
-        *items.columns, (F.col("_rank") + F.col("_shift")).cast("long").alias("_rank")
+    earlier = Window.partitionBy(size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    shift = by_salt.select(size, salt, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(shift_))
+    rank = F.row_number().over(Window.partitionBy(size, salt).orderBy(*others)) - 1
+    ranked = salted.withColumn(rank_, rank).join(shift, [size, salt]).select(
+        *items.columns, (F.col(rank_) + F.col(shift_)).cast("long").alias(rank_)
     )
-    target = ranked.drop("_rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    target = ranked.drop(rank_).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     at = items.columns.index(size)
 
     def place(batches):
