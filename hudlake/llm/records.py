@@ -14,7 +14,8 @@ which is the framing of TFRecord files, so any reader of that format can walk a
 length, so that a reader can fetch any record, or visit records in any order, with one seek.
 
 Writing sorts the table by id over all shards: a range exchange deals rows to shards, so no task
-holds more than its range, and equal ids are told apart by a hash of the text. A shard is
+holds more than its range, and equal ids are told apart by a hash of the text. There are as many shards
+as the files behind the table hold ``SHARD_BYTES``, and a few for each core where that is less. A shard is
 written under a name of its task attempt and renamed when complete: a task that runs again writes
 the same bytes again, and a reader never sees half a file. Files go through ``pyarrow.fs``, which
 opens local, HDFS, S3 and GCS addresses.
@@ -39,6 +40,8 @@ MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 256
 HEAD = struct.Struct("<BqBI")
+#: Bytes of input files that make a shard, and least shards for each core.
+SHARD_BYTES, CORE_SHARDS = 64 << 20, 4
 
 
 @cache
@@ -164,13 +167,19 @@ def open_folder(uri: str):
 MANIFEST = "shard int, path string, records long, tokens long, bytes long"
 
 
+def shards(docs: DataFrame) -> int:
+    """Number of shards for a table (k, t), from the size of the files that it is read from, or where that is unknown from its texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    return max(-(-size // SHARD_BYTES), CORE_SHARDS * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def write(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Encode and write ``docs`` in ascending order of ``key``; returns the manifest of the shards, evaluated."""
-    spark = docs.sparkSession
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(
-        shared.bounded_partitions(spark), *order
-    ).sortWithinPartitions(*order)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    ordered = rows.repartitionByRange(shards(rows), *order).sortWithinPartitions(*order)
 
     def run(batches):
         import pyarrow as pa
@@ -183,8 +192,8 @@ def write(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vo
         stem, mine = f"{root}/shard-{shard:05d}", uuid.uuid4().hex
         at, offsets, total, out = 0, [0], 0, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, shared.SLICE_ROWS):
-                keys, texts = (c.to_pylist() for c in batch.slice(lo, shared.SLICE_ROWS).columns)
+            for part in shared.slices(batch):
+                keys, texts = (c.to_pylist() for c in part.columns)
                 ids = [encode(t) + end for t in texts]
                 frames = frame([payload(k, x) for k, x in zip(keys, ids)])
                 out = out or folder.open_output_stream(f"{stem}.{mine}")
@@ -215,8 +224,8 @@ def read(manifest: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.select("path", before.alias("start"), "shard")
-    spread = shards.repartition(shared.bounded_partitions(manifest.sparkSession), "shard").select("path", "start")
+    placed = manifest.select("path", before.alias("start"), "shard")
+    spread = placed.repartition(shared.bounded_partitions(manifest.sparkSession), "shard").select("path", "start")
 
     def run(batches):
         import pyarrow as pa
