@@ -13,8 +13,9 @@ from hudlake.functions import playername as N
 from hudlake.functions import text as T
 from hudlake.operators import images, ocr
 from hudlake.plans import extract
-from hudlake.schema import REGIONS, TEXTS, call_plan
+from hudlake.schema import TEXTS, call_plan
 from hudlake.sources import hud, inputs
+from hudlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,10 +31,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 NUMBER = "translate(cast(cast(floor(l_extendedprice) AS bigint) AS string), '0158', 'OISB') || CASE WHEN l_linenumber % 2 = 0 THEN ',' ELSE '.' END || cast(l_linenumber AS string) || '5 x'"
 
 
@@ -43,7 +40,7 @@ def loose_number(spark, sf_dir):
 
 
 def _banner(legacy):
-    return lambda spark, sf_dir: hud.screens(spark, sf_dir).select("image_id", clock.banner_seconds(F.col("banner"), legacy).alias("seconds"))
+    return lambda spark, sf_dir: clock.with_banner_seconds(hud.screens(spark, sf_dir).select("image_id", "banner"), "banner", "seconds", legacy).drop("banner")
 
 
 query("banner_time", O.banner_time(False))(_banner(False))
@@ -57,9 +54,8 @@ def time_fallback(spark, sf_dir):
 
 
 def _code(legacy):
-    return lambda spark, sf_dir: hud.screens(spark, sf_dir).select(
-        "image_id", mapcode.extracted_code(F.col("top_left"), F.col("top_left_white"), F.col("top_left_cyan"), legacy).alias("code")
-    )
+    texts = ["top_left", "top_left_white", "top_left_cyan"]
+    return lambda spark, sf_dir: mapcode.with_code(hud.screens(spark, sf_dir).select("image_id", *texts), texts, "code", legacy).select("image_id", "code")
 
 
 query("map_code", O.map_code(False))(_code(False))
@@ -70,8 +66,7 @@ PLAIN_UPPER = "replace(replace(text, 'ß', 'SS'), 'ﬁ', 'FI')"
 
 @query("code_scan_documents", f"WITH {O.code_ctes(f'SELECT doc_id AS id, {PLAIN_UPPER} AS x FROM documents')} SELECT id AS doc_id, code FROM codes")
 def code_scan_documents(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", mapcode.extracted_code(F.col("text"), none, none).alias("code"))
+    return mapcode.with_code(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "code").select("doc_id", "code")
 
 
 CORNER_TEXT = "CASE WHEN c_custkey % 3 = 0 THEN c_name || ' ' || 'time' WHEN c_custkey % 3 = 1 THEN '250  ' || replace(c_name, '#', '') ELSE replace(c_name, '#', '_') || ' ' END"
@@ -79,7 +74,7 @@ CORNER_TEXT = "CASE WHEN c_custkey % 3 = 0 THEN c_name || ' ' || 'time' WHEN c_c
 
 @query("ascii_name_bl", f"SELECT c_custkey, {O.corner_name(CORNER_TEXT)} AS name FROM customer")
 def ascii_name_bl(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", N.corner_name(F.expr(CORNER_TEXT)).alias("name"))
+    return N.with_corner_name(table(spark, sf_dir, "customer").select("c_custkey", F.expr(CORNER_TEXT).alias("corner")), "corner", "name").drop("corner")
 
 
 BOARD_TEXT = "CASE WHEN s_suppkey % 2 = 0 THEN 'TOP 5 ' ELSE '' END || replace(s_name, '#', '') || ' ' || cast(s_suppkey AS string) || '.25 SEC'"
@@ -88,17 +83,18 @@ BANNER_TEXT = "CASE WHEN s_suppkey % 3 = 0 THEN '9' || replace(s_name, '#', '_')
 
 @query("ascii_name_banner", f"SELECT s_suppkey, {O.other_name(BANNER_TEXT, BOARD_TEXT)} AS name FROM supplier")
 def ascii_name_banner(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", N.other_name(F.expr(BANNER_TEXT), F.expr(BOARD_TEXT)).alias("name"))
+    texts = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(BANNER_TEXT).alias("banner"), F.expr(BOARD_TEXT).alias("board"))
+    return N.with_other_name(texts, "banner", "board", "name").select("s_suppkey", "name")
 
 
-_PROFILE = ", ".join(f"{O.share('text', s)} AS {s}" for s in N.SCRIPTS)
+_PROFILE = ", ".join(f"{O.share('text', s)} AS {s}" for s in O.SCRIPTS)
 
 
-@query("script_profile", f"SELECT key, {_PROFILE}, {O.count('text', N.CJK)} AS cjk FROM (SELECT doc_id AS key, text FROM documents UNION ALL SELECT -1 - image_id, han || kana || ' ' || hangul || digits FROM ({O.SCREENS}))")
+@query("script_profile", f"SELECT key, {_PROFILE}, {O.count('text', O.CJK)} AS cjk FROM (SELECT doc_id AS key, text FROM documents UNION ALL SELECT -1 - image_id, han || kana || ' ' || hangul || digits FROM ({O.SCREENS}))")
 def script_profile(spark, sf_dir):
     made = hud.screens(spark, sf_dir).selectExpr("-1 - image_id AS key", "han || kana || ' ' || hangul || digits AS text")
     both = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text").union(made)
-    return both.select("key", *[N.script_share(F.col("text"), s).alias(s) for s in N.SCRIPTS], N.cjk_count(F.col("text")).cast("long").alias("cjk"))
+    return N.with_scripts(both, "text").select("key", *N.SCRIPTS, N.cjk_count(F.col("text")).cast("long").alias("cjk"))
 
 
 _FRAGMENTS = "SELECT conv_id * 1000 + turn AS key, '** ' || replace(text, '. ', '.   ') || ' :|~' AS text FROM conversations"
@@ -115,14 +111,14 @@ def _candidates(spark, sf_dir, profile="current"):
     return ocr.candidates(hud.candidate_lines(spark, sf_dir), profile)
 
 
-@query("hangul_gate", f"WITH {O.score_ctes()} SELECT image_id, ord, language_code FROM pool_gate WHERE NOT g OR hangul >= 0.20 OR language_code = 'korean'")
+@query("hangul_gate", f"WITH {O.score_ctes()} SELECT image_id, call_no, line_no, language_code FROM pool_gate WHERE NOT g OR hangul >= 0.20 OR language_code = 'korean'")
 def hangul_gate(spark, sf_dir):
-    return extract.gated(_candidates(spark, sf_dir)).select("image_id", "ord", "language_code")
+    return extract.gated(_candidates(spark, sf_dir)).select("image_id", "call_no", "line_no", "language_code")
 
 
-@query("name_candidates_scored", f"WITH {O.score_ctes()} SELECT image_id, ord, text, language_code, roi_label, round(score, 6) AS score FROM pool")
+@query("name_candidates_scored", f"WITH {O.score_ctes()} SELECT image_id, call_no, line_no, text, language_code, roi_label, round(score, 6) AS score FROM pool")
 def name_candidates_scored(spark, sf_dir):
-    return extract.scored(_candidates(spark, sf_dir)).select("image_id", "ord", "text", "language_code", "roi_label", F.round("score", 6).alias("score"))
+    return extract.scored(_candidates(spark, sf_dir)).select("image_id", "call_no", "line_no", "text", "language_code", "roi_label", F.round("score", 6).alias("score"))
 
 
 @query("best_name", f"WITH {O.score_ctes()} SELECT image_id, text AS name FROM pool_best")
@@ -147,8 +143,14 @@ def region_texts(spark, sf_dir):
     return extract.joined_lines(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"])
 
 
+@query("region_texts_by_call", O.REGION_WORDS)
+def region_texts_by_call(spark, sf_dir):
+    """Every region is read by all its calls, and each call reads several lines."""
+    return extract.region_texts(hud.word_lines(spark, sf_dir))
+
+
 _SIZES = "SELECT o_orderkey AS image_id, cast(640 + o_orderkey % 1301 AS int) AS width, cast(360 + o_orderkey % 733 AS int) AS height FROM orders"
-_SPEC = ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, v in REGIONS.items())
+_SPEC = ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, *v in O.REGIONS)
 _BOUNDS = ", ".join(
     f"CAST(greatest(0, least({size}, trunc({size} * {c}))) AS INT) AS b{c}" for size, c in (("width", "x1"), ("height", "y1"), ("width", "x2"), ("height", "y2"))
 )
@@ -196,7 +198,7 @@ def extract_record_legacy(spark, sf_dir):
     return _flat(extract.extract(_lines(spark, sf_dir), "legacy"))
 
 
-@query("extract_json")
+@query("extract_json", O.json(O.record()))
 def extract_json(spark, sf_dir):
     return extract.as_json(extract.extract(_lines(spark, sf_dir)))
 
@@ -223,21 +225,22 @@ def _kernel(kernel):
     return run
 
 
-query("white_mask")(_kernel(images.white_mask))
-query("cyan_mask")(_kernel(images.cyan_mask))
+query("white_mask", O.WHITE_MASK)(_kernel(images.white_mask))
+query("cyan_mask", O.CYAN_MASK)(_kernel(images.cyan_mask))
 query("clahe_binary")(_kernel(images.VARIANTS["binary"]))
 
 
 def size_engine(language: str):
-    """An engine for trials: it reads the size and mean of a crop."""
-    return lambda image, lang: [(f"{lang} {image.shape[1]}x{image.shape[0]}", float(image.mean()) / 255), ("", 1.0), ("last", None)]
+    """An engine for trials: it reads the size of a crop, an empty line and one of unknown confidence, in a recogniser's shape."""
+    box = [[0, 0], [1, 0], [1, 1], [0, 1]]
+    return lambda image, lang: [[[box, (f"{lang} {image.shape[1]}x{image.shape[0]}", 0.5)], [box, ("", 1.0)], [box, ("last", None)], [box], "?"]]
 
 
-@query("ocr_adapter")
+@query("ocr_adapter", O.OCR_ADAPTER)
 def ocr_adapter(spark, sf_dir):
     return ocr.recognise(images.crops(_pictures(spark, sf_dir)), size_engine)
 
 
-@query("image_extraction")
+@query("image_extraction", O.image_extraction())
 def image_extraction(spark, sf_dir):
     return extract.as_json(extract.extract_images(_pictures(spark, sf_dir), size_engine))

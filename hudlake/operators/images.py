@@ -129,9 +129,16 @@ def binarized(a: np.ndarray, block: int = LOCAL_BLOCK, offset: int = LOCAL_OFFSE
     return np.where(a > np.rint(smoothed(a, kernel / kernel.sum(), "edge")) - offset, 255, 0).astype("u1")
 
 
-def lifted(a: np.ndarray) -> np.ndarray:
-    """One-channel images as three equal channels."""
-    return np.repeat(a[..., None], 3, axis=2) if a.ndim == 2 else a
+def three_channels(a: np.ndarray) -> np.ndarray:
+    """BGR out of one channel (three equal ones), one with alpha, three, or three with alpha, which is left out."""
+    a = a[..., None] if a.ndim == 2 else a
+    return np.repeat(a[..., :1], 3, axis=2) if a.shape[2] < 3 else a[..., :3]
+
+
+def usable() -> Column:
+    """Whether an image row holds the pixels that its size states."""
+    sized = F.col("width").cast("long") * F.col("height") * F.col("channels")
+    return F.coalesce((F.col("height") > 0) & (F.col("width") > 0) & F.col("channels").between(1, 4) & (F.length("data") == sized), F.lit(False))
 
 
 VARIANTS = {"raw": lambda x: x, "white": white_mask, "cyan": cyan_mask, "binary": lambda x: binarized(contrast(x)) if x.size else np.zeros(x.shape[:2], "u1")}
@@ -139,7 +146,7 @@ CROPS = "image_id long, call_no int, language_code string, height int, width int
 
 
 def crops(images: DataFrame, profile: str = "current", languages: list[str] | None = None) -> DataFrame:
-    """Pixels of every recognition call of every image (image_id, height, width, channels, data)."""
+    """Pixels of every recognition call of every ``usable`` image (image_id, height, width, channels, data)."""
     from hudlake.schema import REGIONS
 
     plan = call_plan(images.sparkSession, profile)
@@ -150,7 +157,7 @@ def crops(images: DataFrame, profile: str = "current", languages: list[str] | No
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                image = np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.channels)[..., :3]
+                image = three_channels(np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.channels))
                 made, out = {}, []
                 for call_no, roi, variant, language in calls:
                     if (roi, variant) not in made:
@@ -159,4 +166,4 @@ def crops(images: DataFrame, profile: str = "current", languages: list[str] | No
                     out.append((row.image_id, call_no, language, x.shape[0], x.shape[1], x.shape[2] if x.ndim == 3 else 1, x.tobytes()))
                 yield pd.DataFrame(out, columns=["image_id", "call_no", "language_code", "height", "width", "channels", "data"])
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, CROPS)
+    return images.where(usable()).select("image_id", "height", "width", "channels", "data").mapInPandas(run, CROPS)

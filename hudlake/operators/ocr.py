@@ -1,11 +1,15 @@
 """Recognition as a table function with a pluggable engine.
 
-An engine is a callable (image array, language) -> iterable of (text, confidence). A factory builds one
-per language; each Python worker builds an engine once and keeps it for its later tasks.
+An engine is a callable (image array, language) -> blocks, where a block is (text, confidence) or
+[box, (text, confidence)], and all blocks may stand in one more list, as recognisers return them. A
+factory builds one engine per language; each Python worker builds an engine once and keeps it for its
+later tasks, under a name that stands for the factory and all that it holds.
 """
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable
 from typing import Any
 
@@ -14,30 +18,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hudlake.functions import playername as N
-from hudlake.operators.images import lifted
+from hudlake.operators.images import three_channels
 from hudlake.schema import OCR_LINES, call_plan
+from hudlake.sources.inputs import model_folders
+
+log = logging.getLogger(__name__)
 
 UNKNOWN_CONFIDENCE = -1.0
 LOADED: dict[tuple[str, str], Any] = {}
 Factory = Callable[[str], Callable[[np.ndarray, str], Any]]
 
+# How the recogniser is set up.
+ENGINE_OPTIONS = {
+    "ocr_version": "PP-OCRv3", "use_angle_cls": False, "show_log": False, "enable_mkldnn": False, "use_gpu": False,
+    "det_batch_num": 1, "rec_batch_num": 1, "cls_batch_num": 1,
+}
+
+
+def recogniser(root: str) -> Factory:
+    """Factory of engines over the model folders below ``root``; building one fails where the library is missing."""
+
+    def factory(language: str):
+        from paddleocr import PaddleOCR
+
+        detection, recognition = model_folders(language, root)
+        engine = PaddleOCR(lang=language, det_model_dir=detection, rec_model_dir=recognition, **ENGINE_OPTIONS)
+        return lambda image, _: engine.ocr(image, cls=False)
+
+    return factory
 
-def engine_for(factory: Factory, language: str):
-    key = (f"{factory.__module__}.{factory.__qualname__}", language)
+
+def engine_name(factory: Factory) -> str:
+    """A name for a factory and the values that it closes over."""
+    from pyspark import cloudpickle
+
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def engine_for(factory: Factory, language: str, name: str | None = None):
+    key = (name or engine_name(factory), language)
     if key not in LOADED:
         LOADED[key] = factory(language)
     return LOADED[key]
 
 
+def said(x: Any) -> tuple | list | None:
+    """The (text, confidence) pair of a block, or None for a malformed one."""
+    if not isinstance(x, (list, tuple)) or len(x) < 2:
+        return None
+    pair = x if isinstance(x[0], str) else x[1]
+    return pair if isinstance(pair, (list, tuple)) and len(pair) >= 2 and (pair[0] is None or isinstance(pair[0], str)) else None
+
+
 def lines_of(result: Any) -> list[tuple[str, float]]:
     """Clean lines out of an engine's answer: malformed blocks and empty texts go, order stays."""
-    out = []
-    for block in result or []:
-        if not isinstance(block, (list, tuple)) or len(block) < 2 or not isinstance(block[0], str):
-            continue
-        text = block[0].strip()
+    blocks, out = list(result or []), []
+    if blocks and isinstance(blocks[0], list) and said(blocks[0]) is None:
+        blocks = blocks[0]
+    for pair in filter(None, map(said, blocks)):
+        text = (pair[0] or "").strip()
         try:
-            confidence = UNKNOWN_CONFIDENCE if block[1] is None else float(block[1])
+            confidence = UNKNOWN_CONFIDENCE if pair[1] is None else float(pair[1])
         except (TypeError, ValueError):
             confidence = UNKNOWN_CONFIDENCE
         if text:
@@ -45,8 +86,12 @@ def lines_of(result: Any) -> list[tuple[str, float]]:
     return out
 
 
-def recognise(crops: DataFrame, factory: Factory) -> DataFrame:
-    """OCR lines of crops; an empty crop and a crop on which the engine fails have none."""
+def recognise(crops: DataFrame, factory: Factory, name: str | None = None) -> DataFrame:
+    """OCR lines of crops; an empty crop and a crop on which the engine fails have none.
+
+    An engine that cannot be built fails the job: ask ``warm_workers`` first which languages there are.
+    """
+    name = name or engine_name(factory)
 
     def run(batches):
         import pandas as pd
@@ -56,11 +101,12 @@ def recognise(crops: DataFrame, factory: Factory) -> DataFrame:
             for row in batch.itertuples(index=False):
                 if row.height == 0 or row.width == 0:
                     continue
-                image = np.frombuffer(row.data, "u1").reshape((row.height, row.width, row.channels) if row.channels > 1 else (row.height, row.width))
-                engine = engine_for(factory, row.language_code)
+                image = np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.channels)
+                engine = engine_for(factory, row.language_code, name)
                 try:
-                    found = lines_of(engine(lifted(image), row.language_code))
-                except Exception:  # a crop that cannot be read has no lines
+                    found = lines_of(engine(three_channels(image), row.language_code))
+                except Exception as error:  # a crop that cannot be read has no lines
+                    log.warning("recognition (%s) failed: %s", row.language_code, error)
                     found = []
                 out += [(row.image_id, row.call_no, i, t, c) for i, (t, c) in enumerate(found)]
             yield pd.DataFrame(out, columns=["image_id", "call_no", "line_no", "text", "confidence"])
@@ -68,18 +114,34 @@ def recognise(crops: DataFrame, factory: Factory) -> DataFrame:
     return crops.mapInPandas(run, OCR_LINES)
 
 
-def warm(factory: Factory, languages: list[str]) -> list[str]:
-    """Build engines ahead; languages that cannot be built are left out."""
+def warm(factory: Factory, languages: list[str], name: str | None = None) -> list[str]:
+    """Build engines ahead in this process; languages that cannot be built are logged and left out."""
     ready = []
     for language in languages:
         try:
-            engine_for(factory, language)
+            engine_for(factory, language, name)
             ready.append(language)
-        except Exception:
-            continue
+        except Exception as error:
+            log.warning("no %s engine: %s", language, error)
     return ready
 
 
+def warm_workers(spark: SparkSession, factory: Factory, languages: list[str], name: str | None = None) -> list[str]:
+    """Build engines in the Python workers, one task a core, and return the languages that every task could build."""
+    name, tasks = name or engine_name(factory), spark.sparkContext.defaultParallelism
+
+    def run(batches):
+        import pandas as pd
+
+        for _ in batches:
+            ready = warm(factory, languages, name)
+            yield pd.DataFrame({"language": languages, "ok": [x in ready for x in languages]})
+
+    built = spark.range(0, tasks, 1, tasks).mapInPandas(run, "language string, ok boolean").groupBy("language").agg(F.min("ok").alias("ok"))
+    ready = {r.language for r in built.where("ok").collect()}
+    return [x for x in languages if x in ready]
+
+
 def require_engine(languages: list[str], needed: str = "en") -> None:
     if needed not in languages:
         raise RuntimeError(f"status 503: the {needed} engine is not loaded")
@@ -91,11 +153,17 @@ def engine_status(spark: SparkSession, languages: list[str], legacy: bool = Fals
 
 
 def labelled(lines: DataFrame, profile: str = "current") -> DataFrame:
-    """Lines with what their call says: language, label or target, and candidates' place in order."""
-    return lines.join(F.broadcast(call_plan(lines.sparkSession, profile)), "call_no").withColumn("ord", F.col("call_no") * 100_000 + F.col("line_no"))
+    """Lines with what their call says: language, label or target. (call_no, line_no) is their place in order."""
+    return lines.join(F.broadcast(call_plan(lines.sparkSession, profile)), "call_no")
+
+
+def with_profile(labelled_lines: DataFrame) -> DataFrame:
+    """Labelled lines as candidates, with the shares of the scripts that names are judged by."""
+    known = labelled_lines.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return N.with_scripts(known, "text", ["hangul", "kana", "han"])
 
 
 def candidates(lines: DataFrame, profile: str = "current") -> DataFrame:
-    """Name candidates with their script profiles."""
+    """Name candidates (image_id, call_no, line_no, text, confidence, language_code, roi_label) with their script shares."""
     named = labelled(lines, profile).where("roi_label IS NOT NULL")
-    return named.select("image_id", "ord", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "language_code", "roi_label", N.script_profile(F.col("text")).alias("profile"))
+    return with_profile(named.select("image_id", "call_no", "line_no", "text", "confidence", "language_code", "roi_label"))

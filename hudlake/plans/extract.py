@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hudlake import staging
 from hudlake.functions import clock, mapcode
 from hudlake.functions import playername as N
 from hudlake.functions import text as T
 from hudlake.operators import ocr
-from hudlake.schema import TEXTS
+from hudlake.operators.images import crops
+from hudlake.schema import LANGUAGES, TEXTS
 
 
 def joined_lines(lines: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
@@ -18,74 +20,112 @@ def joined_lines(lines: DataFrame, keys: list[str], order: list[str], text: str
     return lines.groupBy(*keys).agg(T.strip(F.array_join(F.transform(ordered, lambda x: x[text]), " ")).alias(text))
 
 
+def ordered_texts() -> Column:
+    """Aggregate: what the English calls of an image read, in order."""
+    return F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("call_no", "line_no", "target", "text"))))
+
+
+def with_region_texts(df: DataFrame, said: str) -> DataFrame:
+    """``df`` with the six texts, never null, in place of column ``said`` of ``ordered_texts``."""
+    of = lambda name: F.transform(F.filter(said, lambda x: x["target"] == name), lambda x: x["text"])
+    return df.select(*[c for c in df.columns if c != said], *[T.strip(F.array_join(of(name), " ")).alias(name) for name in TEXTS])
+
+
 def region_texts(lines: DataFrame, profile: str = "current") -> DataFrame:
-    """(image_id, six texts), never null, with one shuffle on image_id."""
-    said = ocr.labelled(lines, profile)
-    ordered = lambda name: F.array_sort(F.collect_list(F.when(F.col("target") == name, F.struct("ord", "text"))))
-    return said.groupBy("image_id").agg(
-        *[T.strip(F.array_join(F.transform(ordered(name), lambda x: x["text"]), " ")).alias(name) for name in TEXTS]
-    )
+    """(image_id, six texts), with one shuffle on image_id."""
+    said = ocr.labelled(lines, profile).groupBy("image_id").agg(ordered_texts().alias("_said_lines"))
+    return with_region_texts(said, "_said_lines")
 
 
 def gated(candidates: DataFrame) -> DataFrame:
     """Where any candidate of an image is clearly Hangul, the others must be somewhat so, or Korean."""
-    share = F.col("profile.hangul")
-    any_hangul = F.max(share).over(Window.partitionBy("image_id")) >= N.GATE
-    return candidates.withColumn("_g", any_hangul).where(~F.col("_g") | (share >= N.GATE_KEEPS) | (F.col("language_code") == "korean")).drop("_g")
+    any_hangul = F.max("hangul").over(Window.partitionBy("image_id")) >= N.GATE
+    return candidates.withColumn("_any", any_hangul).where(~F.col("_any") | somewhat_hangul()).drop("_any")
+
+
+def somewhat_hangul() -> Column:
+    return (F.col("hangul") >= N.GATE_KEEPS) | (F.col("language_code") == "korean")
+
+
+def rated(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``cleaned`` text, ``score``, and whether the text and its script allow them into the pool."""
+    shares = {s: F.col(s) for s in ("hangul", "kana", "han")}
+    score = N.candidate_score(F.col("confidence"), F.col("language_code"), F.col("roi_label"), shares)
+    eligible = (F.greatest(*shares.values()) >= N.LEAST_SCRIPT) & (F.length(T.without_white(F.col("cleaned"))) >= 2)
+    return candidates.withColumn("cleaned", N.banner_fragment(F.col("text"))).withColumns({"score": score, "pooled": eligible})
 
 
 def scored(candidates: DataFrame) -> DataFrame:
     """The pool of candidates with cleaned text and score."""
-    pool = gated(candidates).where(N.may_be_name(F.col("text"), F.col("profile")))
-    score = N.candidate_score(F.col("confidence"), F.col("language_code"), F.col("roi_label"), F.col("profile"))
-    return pool.withColumn("score", score).withColumn("text", N.banner_fragment(F.col("text")))
+    return rated(gated(candidates)).where("pooled").withColumn("text", F.col("cleaned")).drop("cleaned", "pooled")
+
+
+def best_name(among: Column | None = None) -> Column:
+    """Aggregate over ``rated`` rows: the pooled text of the highest score, the earliest of equal ones; gated as ``gated`` does.
+
+    The gate depends on all candidates of the image, so the best one is kept for either outcome and the choice
+    comes last: no candidate is gathered or sorted.
+    """
+    mine = F.col("roi_label").isNotNull() if among is None else among
+    place = F.struct("score", -F.col("call_no"), -F.col("line_no"))
+    best = lambda allowed: F.max_by("cleaned", F.when(allowed & F.col("pooled"), place))
+    return F.when(F.max(F.when(mine, F.col("hangul"))) >= N.GATE, best(mine & somewhat_hangul())).otherwise(best(mine))
 
 
 def best_names(candidates: DataFrame) -> DataFrame:
-    """(image_id, name): the text of the highest score; the earliest of equal ones."""
-    return scored(candidates).groupBy("image_id").agg(F.max_by("text", F.struct("score", -F.col("ord"))).alias("name"))
+    """(image_id, name) of the images that have a name."""
+    return rated(candidates).groupBy("image_id").agg(best_name().alias("name")).where("name IS NOT NULL")
+
+
+def cjk_names(candidates: DataFrame) -> DataFrame:
+    """(image_id, cjk_corner, cjk_all): the best names of the corner and of all regions."""
+    return rated(candidates).groupBy("image_id").agg(*both_names())
+
+
+def both_names() -> list[Column]:
+    return [best_name(F.col("roi_label") == "BL").alias("cjk_corner"), best_name().alias("cjk_all")]
 
 
 def records(texts: DataFrame, names: DataFrame | None = None, profile: str = "current") -> DataFrame:
     """(image_id, name, time, code, texts) of region texts and CJK names (image_id, cjk_corner, cjk_all)."""
     legacy = profile == "legacy"
-    c = {t: F.col(t) for t in TEXTS}
-    if names is None:
-        texts = texts.withColumns({"cjk_corner": F.lit(None).cast("string"), "cjk_all": F.lit(None).cast("string")})
-    else:
+    if names is not None:
         texts = texts.join(names, "image_id", "left")
-    name = N.preferred_name(N.corner_name(c["bottom_left"]), F.col("cjk_corner"), N.other_name(c["banner"], c["top_right"]), F.col("cjk_all"), legacy)
-    return texts.select(
-        "image_id", name.alias("name"), clock.run_seconds(c["banner"], c["top_right"], c["top_left_white"], legacy).alias("time"),
-        mapcode.extracted_code(c["top_left"], c["top_left_white"], c["top_left_cyan"], legacy).alias("code"), F.struct(*TEXTS).alias("texts"),
-    )
-
-
-def cjk_names(candidates: DataFrame) -> DataFrame:
-    corner = best_names(candidates.where("roi_label = 'BL'")).withColumnRenamed("name", "cjk_corner")
-    return best_names(candidates).withColumnRenamed("name", "cjk_all").join(corner, "image_id", "full")
+    elif "cjk_all" not in texts.columns:
+        texts = texts.withColumns({c: F.lit(None).cast("string") for c in ("cjk_corner", "cjk_all")})
+    read = N.with_other_name(N.with_corner_name(texts, "bottom_left", "corner"), "banner", "top_right", "other")
+    read = clock.with_run_seconds(read, "banner", "top_right", "top_left_white", "time", legacy)
+    read = mapcode.with_code(read, ["top_left", "top_left_white", "top_left_cyan"], "code", legacy)
+    name = N.preferred_name(*[F.col(c) for c in ("corner", "cjk_corner", "other", "cjk_all")], legacy)
+    return read.select("image_id", name.alias("name"), "time", "code", F.struct(*TEXTS).alias("texts"))
 
 
 def extract(lines: DataFrame, profile: str = "current") -> DataFrame:
-    """Records of recognised lines (image_id, call_no, line_no, text, confidence)."""
-    return records(region_texts(lines, profile), cjk_names(ocr.candidates(lines, profile)), profile)
+    """Records of recognised lines (image_id, call_no, line_no, text, confidence): one pass, one shuffle on image_id."""
+    every = ocr.labelled(lines, profile)
+    shown = every.withColumns({"whole": F.col("text"), "text": F.when(F.col("roi_label").isNotNull(), F.col("text"))})
+    judged = rated(ocr.with_profile(shown)).withColumn("text", F.col("whole"))
+    return records(with_region_texts(judged.groupBy("image_id").agg(ordered_texts().alias("_said_lines"), *both_names()), "_said_lines"), None, profile)
 
 
-def extract_images(images: DataFrame, factory: ocr.Factory, profile: str = "current") -> DataFrame:
+def extract_images(
+    images: DataFrame, factory: ocr.Factory, profile: str = "current", engines: str | None = None, languages: list[str] | None = None
+) -> DataFrame:
     """Records of images, recognising names in other scripts only where the corner shows no ASCII name.
 
     An ASCII name in the corner wins over every other, so the 15 calls of the other languages cannot
-    change such a record and are left out.
+    change such a record and are left out. Recognised lines are written to the shared folder: a lost
+    executor costs no second recognition. Images without a line, and rows that hold no image, get a record of
+    empty texts. ``languages`` are those of names, by default all of the profile.
     """
-    from hudlake.operators.images import crops
-    from hudlake.schema import LANGUAGES
-
-    english = ocr.recognise(crops(images, profile, ["en"]), factory)
-    texts = region_texts(english, profile).cache()
-    open_images = images.join(texts.where(N.corner_name(F.col("bottom_left")).isNull()).select("image_id"), "image_id", "left_semi")
-    others = ocr.recognise(crops(open_images, profile, LANGUAGES[profile]), factory)
-    everything = images.select("image_id").join(texts, "image_id", "left").select("image_id", *[T.text_or_empty(F.col(t)).alias(t) for t in TEXTS])
-    return records(everything, cjk_names(ocr.candidates(others, profile)), profile)
+    languages = LANGUAGES[profile] if languages is None else languages
+    english = staging.stage(ocr.recognise(crops(images, profile, ["en"]), factory, engines), "english-lines")
+    corner = N.with_corner_name(region_texts(english, profile), "bottom_left", "corner").where("corner IS NOT NULL").select("image_id")
+    open_images = images.join(corner, "image_id", "left_anti")
+    others = staging.stage(ocr.recognise(crops(open_images, profile, languages), factory, engines), "other-lines")
+    found = extract(english.union(others), profile)
+    none = F.struct(*[F.lit("").alias(t) for t in TEXTS])
+    return images.select("image_id").join(found, "image_id", "left").withColumn("texts", F.coalesce("texts", none))
 
 
 def camel(name: str) -> str:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hudlake.sources.tables import table
+
 SCREENS = """
 SELECT image_id, k,
   CASE WHEN k = 0 THEN 'MAP CODE: ' || code WHEN k = 1 THEN 'MAPC0DE ' || code WHEN k = 2 THEN 'map  lode-' || code
@@ -41,12 +43,12 @@ FROM ({screens}) s CROSS JOIN (SELECT explode_n AS n FROM ({fifteen})) c
 
 
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SCREENS.replace("{orders}", "{o}"), o=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(SCREENS.replace("{orders}", "{o}"), o=table(spark, sf_dir, "orders"))
 
 
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = CANDIDATES.format(screens=SCREENS.replace("{orders}", "{o}"), fifteen="SELECT cast(id AS int) AS explode_n FROM range(15)")
-    return spark.sql(sql, o=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(sql, o=table(spark, sf_dir, "orders"))
 
 
 def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,3 +58,13 @@ def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens(spark, sf_dir).selectExpr("image_id", f"stack({len(texts)}, {stack}) AS (call_no, text)").where("text != ''").selectExpr(
         "image_id", "call_no", "0 AS line_no", "text", "0.9D AS confidence"
     )
+
+
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region texts as lines of one word each, dealt in order over all calls that read the region."""
+    calls = {"banner": [0, 1, 2], "top_right": [3], "bottom_left": [4], "top_left": [5, 6], "top_left_white": [7], "top_left_cyan": [8]}
+    first = ", ".join(f"{c[0]}, {len(c)}, {name}" for name, c in calls.items())
+    words = screens(spark, sf_dir).selectExpr("image_id", f"stack({len(calls)}, {first}) AS (first, calls, text)").selectExpr(
+        "image_id", "first", "calls", "posexplode(filter(split(text, ' '), w -> w != '')) AS (n, text)"
+    )
+    return words.selectExpr("image_id", "first + least(n, calls - 1) AS call_no", "n AS line_no", "text", "0.9D AS confidence")

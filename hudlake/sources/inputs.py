@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hudlake.functions import text as T
 
+log = logging.getLogger(__name__)
+
+# What a profile reports for a page that is not there or no image, for a network error, and for anything else.
+STATUSES = {"current": {"page": 500, "network": 400, "other": 500}, "legacy": {"page": 400, "network": 500, "other": 500}}
 # Folders of detection and recognition models by language.
 MODELS = {
     "en": ("det/en/en_PP-OCRv3_det_infer", "rec/en/en_PP-OCRv3_rec_infer"),
@@ -44,26 +52,81 @@ def image_files(spark: SparkSession, path: str, keep_invalid: bool = False) -> D
     return found.select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
-def fetched(requests: DataFrame, get: Callable[[str], tuple[int, bytes]]) -> DataFrame:
-    """(image_id, status, detail, bytes) of addressed images; ``get`` is built per task by the caller's function."""
+class HttpSession(AbstractContextManager):
+    """The default session: one opener, which keeps cookies and proxies, for all addresses of a task."""
+
+    def __init__(self, timeout: float = 60.0):
+        self.opener, self.timeout = urllib.request.build_opener(), timeout
+
+    def get(self, url: str) -> tuple[int, bytes]:
+        try:
+            with self.opener.open(url, timeout=self.timeout) as answer:
+                return answer.status, answer.read()
+        except urllib.error.HTTPError as error:
+            return error.code, b""
+
+    def __exit__(self, *_) -> None:
+        self.opener.close()
+
+
+def fetched(requests: DataFrame, session: Callable[[], AbstractContextManager] = HttpSession, profile: str = "current") -> DataFrame:
+    """(image_id, status, detail, bytes) of addressed images.
+
+    ``session`` is called once a partition; what it returns is a context manager with ``get(url) -> (status, bytes)``.
+    """
+    status_of = STATUSES[profile]
 
     def run(batches):
         import pandas as pd
 
+        with session() as http:
+            for batch in batches:
+                out = []
+                for image_id, url in zip(batch.image_id, batch.image_url):
+                    status, detail, body = 200, None, None
+                    if not isinstance(url, str) or not url.startswith(("http://", "https://")):
+                        status, detail = 422, "not an http address"
+                    else:
+                        try:
+                            code, body = http.get(url)
+                            if code != 200:
+                                status, detail, body = status_of["page"], f"failed to fetch image: HTTP {code}", None
+                        except OSError as error:
+                            status, detail = status_of["network"], f"error fetching image: {error}"
+                        except Exception as error:
+                            status, detail = status_of["other"], f"unexpected error: {error}"
+                    out.append((image_id, status, detail, body))
+                yield pd.DataFrame(out, columns=["image_id", "status", "detail", "bytes"])
+
+    return requests.select("image_id", "image_url").mapInPandas(run, "image_id long, status int, detail string, bytes binary")
+
+
+def pixels(images: DataFrame, bad_status: int = 400) -> DataFrame:
+    """(image_id, status, detail, height, width, channels, data) of rows with bytes; bytes that are no image get ``bad_status``."""
+
+    def run(batches):
+        import pandas as pd
+
+        from hudlake.sources.raster import decode
+
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if not isinstance(row.image_url, str) or not row.image_url.startswith(("http://", "https://")):
-                    out.append((row.image_id, 422, "not an http address", None))
-                    continue
-                try:
-                    status, body = get(row.image_url)
-                    out.append((row.image_id, status, None if status == 200 else "fetch failed", body if status == 200 else None))
-                except Exception as error:
-                    out.append((row.image_id, 400, str(error), None))
-            yield pd.DataFrame(out, columns=["image_id", "status", "detail", "bytes"])
+            for image_id, status, detail, body in zip(batch.image_id, batch.status, batch.detail, batch.bytes):
+                shape, data = (None, None, None), None
+                if status == 200:
+                    try:
+                        image = decode(body)
+                        shape, data = image.shape, image.tobytes()
+                    except Exception as error:
+                        status, detail = bad_status, f"invalid image: {error}"
+                out.append((image_id, status, detail, *shape, data))
+            frame = pd.DataFrame(out, columns=["image_id", "status", "detail", "height", "width", "channels", "data"])
+            yield frame.astype({c: "Int32" for c in ("height", "width", "channels")})
 
-    return requests.select("image_id", "image_url").mapInPandas(run, "image_id long, status int, detail string, bytes binary")
+    return images.select("image_id", "status", "detail", "bytes").mapInPandas(run, PIXELS)
+
+
+PIXELS = "image_id long, status int, detail string, height int, width int, channels int, data binary"
 
 
 def model_folders(language: str, root: str) -> tuple[str | None, str | None]:
@@ -73,3 +136,8 @@ def model_folders(language: str, root: str) -> tuple[str | None, str | None]:
 
 def model_catalog(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(k, *model_folders(k, root)) for k in MODELS], "language string, det string, rec string")
+
+
+def log_model_folders(root: str) -> None:
+    for language in MODELS:
+        log.info("models of %s: detection %s, recognition %s", language, *model_folders(language, root))

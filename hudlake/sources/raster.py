@@ -1,0 +1,112 @@
+"""Image bytes to BGR arrays. Pillow decodes where it is installed; without it PNG (not interlaced) and uncompressed BMP do.
+
+A truncated PNG gives the rows that are there and black below, as tolerant decoders do. Alpha is left out.
+"""
+
+from __future__ import annotations
+
+import io
+import struct
+import zlib
+
+import numpy as np
+
+PNG = b"\x89PNG\r\n\x1a\n"
+#: Samples a pixel by colour type: grey, RGB, palette, grey with alpha, RGB with alpha.
+SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def decode(body: bytes) -> np.ndarray:
+    """(height, width, 3) BGR; raises ValueError for what is no image that can be read here."""
+    if not body:
+        raise ValueError("no bytes")
+    try:
+        from PIL import Image, ImageFile
+    except ImportError:
+        Image = None
+    if Image is not None:
+        ImageFile.LOAD_TRUNCATED_IMAGES = True
+        return np.ascontiguousarray(np.asarray(Image.open(io.BytesIO(body)).convert("RGB"))[..., ::-1])
+    if body.startswith(PNG):
+        return png(body)
+    if body.startswith(b"BM"):
+        return bmp(body)
+    raise ValueError("neither PNG nor BMP, and Pillow is not installed")
+
+
+def png(body: bytes) -> np.ndarray:
+    at, head, palette, packed = len(PNG), None, None, []
+    while at + 8 <= len(body):
+        size, kind = struct.unpack(">I4s", body[at : at + 8])
+        data = body[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data, "u1").reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(data)
+        elif kind == b"IEND":
+            break
+    if head is None or not packed:
+        raise ValueError("a PNG without header or pixels")
+    width, height, depth, colour, _, _, interlaced = head
+    if interlaced or colour not in SAMPLES or not width or not height:
+        raise ValueError("a kind of PNG that is not read here")
+    samples = SAMPLES[colour]
+    stride, step = -(-width * samples * depth // 8), max(1, samples * depth // 8)
+    raw = zlib.decompressobj().decompress(b"".join(packed), height * (stride + 1))
+    raw = np.frombuffer(raw.ljust(height * (stride + 1), b"\0"), "u1").reshape(height, stride + 1)
+    rows = unfiltered(raw[:, 0], raw[:, 1:], step)
+    if depth == 16:
+        values = rows.reshape(height, width, samples, 2)[..., 0]
+    elif depth == 8:
+        values = rows.reshape(height, width, samples)
+    else:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
+        values = np.packbits(np.pad(bits, ((0, 0), (0, 0), (8 - depth, 0))), axis=2)[:, :width]
+        if colour == 0:
+            values = (values.astype("u2") * 255 // ((1 << depth) - 1)).astype("u1")
+    if colour == 3:
+        values = palette[np.minimum(values[..., 0], len(palette) - 1)]
+    values = values[..., :3] if values.shape[2] >= 3 else np.repeat(values[..., :1], 3, axis=2)
+    return np.ascontiguousarray(values[..., ::-1])
+
+
+def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """Rows of bytes out of their differences to the left, upper and upper left bytes, by the filter that each row names."""
+    out, above = np.zeros(rows.shape, "u1"), np.zeros(rows.shape[1], "u1")
+    for y, kind in enumerate(kinds.tolist()):
+        row = rows[y]
+        if kind == 1:  # difference to the left: a running sum of each sample
+            padded = np.zeros(-(-len(row) // step) * step, "u1")
+            padded[: len(row)] = row
+            above = np.cumsum(padded.reshape(-1, step), axis=0, dtype="u1").ravel()[: len(row)]
+        elif kind == 2:
+            above = row + above
+        elif kind in (3, 4):
+            left, up = [0] * step, above.tolist()
+            corner = [0] * step + up
+            for i, x in enumerate(row.tolist()):
+                a, b, c = left[i], up[i], corner[i]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                left.append((x + guess) & 255)
+            above = np.array(left[step:], "u1")
+        else:
+            above = row
+        out[y] = above
+    return out
+
+
+def bmp(body: bytes) -> np.ndarray:
+    start, width, height, bits, packing = struct.unpack("<10xI4xii2xHI", body[:34])
+    if bits not in (24, 32) or packing not in (0, 3) or width <= 0 or not height:
+        raise ValueError("a kind of BMP that is not read here")
+    stride = -(-width * bits // 32) * 4
+    rows = np.frombuffer(body, "u1", abs(height) * stride, start).reshape(abs(height), stride)
+    image = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[..., :3]
+    return np.ascontiguousarray(image[::-1] if height > 0 else image)

@@ -1,9 +1,14 @@
-"""Extraction over a folder that image lines keep arriving in. An extension: each micro-batch is complete
-in itself, for all lines of an image arrive together."""
+"""Extraction over a folder that image lines keep arriving in. An extension of the batch plan.
+
+Lines are kept by batch, and a batch's records are made from all lines so far of the images that it touches.
+So an image whose lines come in several batches has a record in each of them, the last one whole;
+``latest`` reads the last one of each image. A batch that runs again writes the same files again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hudlake.plans.extract import as_json, extract
@@ -11,10 +16,21 @@ from hudlake.schema import OCR_LINES
 
 
 def watch_lines(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "current") -> StreamingQuery:
-    """Append the JSON records of newly arrived OCR-line files to ``out``; runs over what is there and stops."""
+    """Keep ``out/records`` up to date with the OCR-line files of ``folder``; runs over what is there and stops."""
+    kept = f"{checkpoint.rstrip('/')}-lines"
 
     def each(batch: DataFrame, number: int) -> None:
-        as_json(extract(batch, profile)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        known = spark.read.schema(f"{OCR_LINES}, batch int").parquet(kept).where(F.col("batch") <= number)
+        touched = known.where(F.col("batch") == number).select("image_id").distinct()
+        whole = known.join(touched, "image_id", "left_semi").drop("batch")
+        as_json(extract(whole, profile)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     lines = spark.readStream.schema(OCR_LINES).parquet(folder)
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """(image_id, json): the last record of each image."""
+    found = spark.read.schema("image_id long, json string, batch int").parquet(out)
+    return found.groupBy("image_id").agg(F.max_by("json", "batch").alias("json"))

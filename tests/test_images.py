@@ -2,13 +2,16 @@
 
 import base64
 import json
+import struct
+import zlib
 
 import numpy as np
+import pytest
 from hudlake.catalog import size_engine
 from hudlake.operators import images, ocr
-from hudlake.plans import extract
-from hudlake.sources import inputs
-from hudlake.streaming.watch import watch_lines
+from hudlake.plans import extract, requests
+from hudlake.sources import inputs, raster
+from hudlake.streaming.watch import latest, watch_lines
 
 
 def solid(bgr, h=12, w=12):
@@ -82,6 +85,11 @@ def test_warm_engines():
         return size_engine(language)
 
     assert ocr.warm(factory, ["en", "ch", "korean"]) == ["en", "korean"]
+    assert ocr.warm(ocr.recogniser("/nowhere"), ["en"]) == []  # the recognition library is not installed here
+
+
+def test_warm_workers(spark):
+    assert ocr.warm_workers(spark, only_english, ["en", "ch"]) == ["en"]
 
 
 def test_base64_rows(spark):
@@ -92,26 +100,184 @@ def test_base64_rows(spark):
     assert [r.status for r in rows] == [200] * 5 + [400] * 4
 
 
-def test_fetching(spark):
-    def get(url):
+class Shelf:
+    """A session over made-up pages; it counts how often it is opened."""
+
+    def __init__(self):
+        self.open = False
+
+    def __enter__(self):
+        self.open = True
+        return self
+
+    def __exit__(self, *_):
+        self.open = False
+
+    def get(self, url):
+        assert self.open
         if "broken" in url:
             raise OSError("refused")
+        if "odd" in url:
+            raise KeyError("odd")
+        if "picture" in url:
+            return 200, png(np.full((50, 60, 3), 200, "u1"))
         return (200, b"ok") if url.endswith("1") else (404, b"")
 
-    rows = spark.createDataFrame([(1, "http://x/1"), (2, "https://x/2"), (3, "http://broken"), (4, "ftp://x"), (5, None)], "image_id long, image_url string")
-    assert [(r.status, r.bytes and bytes(r.bytes)) for r in inputs.fetched(rows, get).orderBy("image_id").collect()] == [(200, b"ok"), (404, None), (400, None), (422, None), (422, None)]
+
+def test_fetching(spark):
+    urls = ["http://x/1", "https://x/2", "http://broken", "ftp://x", None, "http://odd"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "image_id long, image_url string")
+    got = lambda p: [(r.status, r.bytes and bytes(r.bytes)) for r in inputs.fetched(rows, Shelf, p).orderBy("image_id").collect()]
+    assert got("current") == [(200, b"ok"), (500, None), (400, None), (422, None), (422, None), (500, None)]
+    assert got("legacy") == [(200, b"ok"), (400, None), (500, None), (422, None), (422, None), (500, None)]
+
+
+def chunk(kind, data):
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png(image, filters=(0, 1, 2, 3, 4), colour=None, palette=None, depth=8):
+    """A PNG of an RGB(A), grey or palette array, its rows filtered in turn by all filters, written plainly."""
+    h, w = image.shape[:2]
+    samples = image.reshape(h, w, -1)
+    bpp, rows = samples.shape[2], samples.reshape(h, -1).astype(int)
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[bpp] if colour is None else colour
+    out = b""
+    for y in range(h):
+        kind, line = filters[y % len(filters)], []
+        for i in range(rows.shape[1]):
+            a = rows[y, i - bpp] if i >= bpp else 0
+            b = rows[y - 1, i] if y else 0
+            c = rows[y - 1, i - bpp] if y and i >= bpp else 0
+            paeth = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line.append((rows[y, i] - [0, a, b, (a + b) // 2, paeth][kind]) % 256)
+        out += bytes([kind, *line])
+    head = struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)
+    extra = chunk(b"PLTE", palette.tobytes()) if palette is not None else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_decoding_pictures():
+    rng = np.random.default_rng(4)
+    rgb = rng.integers(0, 256, (11, 7, 3)).astype("u1")
+    assert (raster.decode(png(rgb)) == rgb[..., ::-1]).all()
+    rgba = np.concatenate([rgb, rng.integers(0, 256, (11, 7, 1)).astype("u1")], axis=2)
+    assert (raster.decode(png(rgba)) == rgb[..., ::-1]).all()
+    grey = rgb[..., :1]
+    assert (raster.decode(png(grey)) == np.repeat(grey, 3, axis=2)).all() and (raster.decode(png(rgba[..., 2:])) == np.repeat(rgba[..., 2:3], 3, axis=2)).all()
+    palette = rng.integers(0, 256, (16, 3)).astype("u1")
+    index = rng.integers(0, 16, (11, 7, 1)).astype("u1")
+    assert (raster.decode(png(index, colour=3, palette=palette)) == palette[index[..., 0]][..., ::-1]).all()
+    bits = rng.integers(0, 2, (5, 13)).astype("u1")
+    packed = chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 5, 1, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + np.packbits(r).tobytes() for r in bits)))
+    assert (raster.decode(b"\x89PNG\r\n\x1a\n" + packed)[..., 0] == bits * 255).all()
+    whole = png(rng.integers(0, 256, (64, 64, 3)).astype("u1"))
+    cut = raster.decode(whole[: len(whole) // 2])
+    assert cut.shape == (64, 64, 3) and cut[:20].any() and not cut[60:].any()
+    rows = np.concatenate([rgb[::-1, :, ::-1].reshape(11, -1), np.zeros((11, 3), "u1")], axis=1)
+    header = b"BM" + bytes(8) + struct.pack("<IIiiHHI", 54, 40, 7, 11, 1, 24, 0) + bytes(20)
+    assert (raster.decode(header + rows.tobytes()) == rgb[..., ::-1]).all()
+    for bad in (b"", b"GIF89a", b"\x89PNG\r\n\x1a\n"):
+        with pytest.raises(ValueError):
+            raster.decode(bad)
+
+
+def reader(language):
+    """Reads a name at the bottom left and a code at the top left of a light picture."""
+    def engine(image, lang):
+        h, w = image.shape[:2]
+        return [[[[[0, 0]], ("250 DAHMX" if w > 2 * h else "MAP CODE: A1B2C3", 0.9)]]] if lang == "en" else []
+
+    return engine
+
+
+def only_english(language):
+    if language != "en":
+        raise OSError("no model")
+    return reader(language)
+
+
+def no_engine(language):
+    raise OSError("no model")
+
+
+def test_from_base64_to_records(spark):
+    text = lambda x: base64.b64encode(x).decode()
+    image = np.full((120, 160, 3), 200, "u1")
+    texts = {1: text(png(image)), 2: "data:image/png;base64," + text(png(image[..., :1])), 3: text(png(np.dstack([image, image[..., :1]]))), 4: text(b"no picture"), 5: "***", 6: None, 7: ""}
+    rows = spark.createDataFrame(list(texts.items()), "image_id long, image_b64 string")
+    got = {r.image_id: r for r in requests.answers(rows, reader).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: 200, 2: 200, 3: 200, 4: 400, 5: 400, 6: 400, 7: 400}
+    assert len({got[k].json for k in (1, 2, 3)}) == 1 and '"code":"A1B2C3"' in got[1].json and all(got[k].json is None and got[k].detail for k in (4, 5, 6, 7))
+
+
+def test_missing_engines_by_profile(spark):
+    rows = spark.createDataFrame([(1, "http://x/picture"), (2, "http://x/2"), (3, "http://broken"), (4, "http://x/1")], "image_id long, image_url string")
+    got = lambda f, p: [r.status for r in requests.answers(rows, f, p, Shelf).orderBy("image_id").collect()]
+    assert got(reader, "current") == [200, 500, 400, 500] and got(reader, "legacy") == [200, 400, 500, 400]
+    assert got(only_english, "current") == [503, 500, 400, 500] and got(only_english, "legacy") == [200, 400, 500, 400]
+    assert got(no_engine, "current") == got(no_engine, "legacy") == [503] * 4
+
+
+def test_rows_that_hold_no_image(spark):
+    good = solid((200, 200, 200), 40, 60)
+    rows = [(1, 40, 60, 3, bytearray(good.tobytes())), (2, 40, 60, 1, bytearray(good[..., 0].tobytes())), (3, -1, -1, -1, bytearray()), (4, 40, 60, 3, None), (5, 40, 60, 3, bytearray(b"short")), (6, None, None, None, None)]
+    images_ = spark.createDataFrame(rows, "image_id long, height int, width int, channels int, data binary")
+    got = {r.image_id: json.loads(r.json)["extracted"] for r in extract.as_json(extract.extract_images(images_, size_engine)).collect()}
+    assert got[1] == got[2] and got[1]["texts"]["banner"] and all(set(got[k]["texts"].values()) == {""} for k in (3, 4, 5, 6))
+
+
+def test_engines_are_told_apart_by_what_they_hold():
+    def factory(word):
+        return lambda language: lambda image, lang: [(word, 1.0)]
+
+    one, two = (ocr.engine_for(factory(w), "en")(None, "en") for w in ("one", "two"))
+    assert one == [("one", 1.0)] and two == [("two", 1.0)]
+    assert ocr.engine_name(factory("one")) != ocr.engine_name(factory("two"))
+
+
+def test_image_files(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(np.full((4, 5, 3), 9, "u1")))
+    (tmp_path / "b.png").write_bytes(b"broken")
+    found = inputs.image_files(spark, str(tmp_path), keep_invalid=True).orderBy("origin").collect()
+    assert [(r.height, r.width) for r in found] == [(4, 5), (-1, -1)] and inputs.image_files(spark, str(tmp_path)).count() == 1
+
+
+def test_default_session(tmp_path):
+    import http.server
+    import threading
+
+    class Pages(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(tmp_path))
+
+        log_message = lambda *_: None
+
+    (tmp_path / "x").write_bytes(b"page")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with inputs.HttpSession() as s:
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert s.get(f"{at}/x") == (200, b"page") and s.get(f"{at}/y")[0] == 404
+    server.shutdown()
 
 
-def test_status_and_models(spark, tmp_path):
+def test_status_and_models(spark, tmp_path, caplog):
     (tmp_path / "det/en/en_PP-OCRv3_det_infer").mkdir(parents=True)
     assert inputs.model_folders("en", str(tmp_path))[1] is None and inputs.model_folders("en", str(tmp_path))[0] and inputs.model_folders("xx", "/") == (None, None)
     assert inputs.model_catalog(spark, str(tmp_path)).count() == 4
+    with caplog.at_level("INFO"):
+        inputs.log_model_folders(str(tmp_path))
+    assert len(caplog.messages) == 4
     assert ocr.engine_status(spark, ["korean", "en"]).first().models == ["en", "korean"]
     assert ocr.engine_status(spark, ["korean", "en"], legacy=True).first().models == ["korean", "en"]
 
 
 def test_watching_a_folder(spark, tmp_path):
-    lines = spark.createDataFrame([(1, 4, 0, "250 DAHMX", 0.9)], "image_id long, call_no int, line_no int, text string, confidence double")
-    lines.write.parquet(str(tmp_path / "in"))
-    watch_lines(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
-    assert '"name":"DAHMX"' in spark.read.parquet(str(tmp_path / "out")).first().json
+    """An image whose lines come in two batches ends with one whole record."""
+    schema = "image_id long, call_no int, line_no int, text string, confidence double"
+    for part in ([(1, 4, 0, "250 DAHMX", 0.9), (2, 4, 0, "x NAME2", 0.9)], [(1, 5, 0, "MAP CODE: A1B2C3", 0.9)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        watch_lines(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    got = {r.image_id: json.loads(r.json)["extracted"] for r in latest(spark, str(tmp_path / "out")).collect()}
+    assert {k: (v["name"], v["code"]) for k, v in got.items()} == {1: ("DAHMX", "A1B2C3"), 2: ("NAME2", None)}

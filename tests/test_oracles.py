@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(got.columns) == names and rows(got, names) == rows(want, names)
 
 
-@pytest.mark.parametrize("name", [q for q in catalog.QUERIES if q not in catalog.ORACLES and q not in ("ocr_adapter", "image_extraction")])
+@pytest.mark.parametrize("name", [q for q in catalog.QUERIES if q not in catalog.ORACLES])
 def test_other_queries_return_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(SF)).count() > 0
 
