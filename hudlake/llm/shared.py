@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hudlake.sources.tables import table  # noqa: F401 - the operators take both from here
+from hudlake.staging import drop_stage, new_path, shared_folder, stage  # noqa: F401
+
 #: Rows, and bytes of texts, of one Arrow batch that Python turns into objects at a time. A batch itself is held
 #: to ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) by Spark.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
@@ -20,52 +18,6 @@ SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 SAMPLE_CLASSES = 1 << 12
 
 
-@cache
-def own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="hudlake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees.
-
-    Where that is unset, a local master, all of whose threads see one disk, gets a temporary folder that ends
-    with the process; a cluster gets a folder in the warehouse. The session's settings are left alone.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        local = master.startswith("local") and not master.startswith("local-cluster")
-        base = own_folder() if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/hudlake-stages"
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
-
-    This cuts the lineage at a place that survives lost executors, and makes sure that costly
-    Python passes below it run once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    staged = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged._staged_path = path
-    return staged
-
-
-def drop_stage(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores behind it until no column of ``taken`` has it; Spark compares without case."""
     taken = {t.lower() for t in taken}
@@ -91,10 +43,6 @@ def slices(batch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
         at = stop
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Run a Python function over column lists, ``rows`` rows and ``SLICE_BYTES`` of texts at a time.
 
