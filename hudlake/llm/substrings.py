@@ -1,10 +1,11 @@
 """Substring deduplication: paragraphs by MinHash banding, and passages inside paragraphs by anchors.
 
-*Paragraphs* are lines of at least ``MIN_WORDS`` words. A paragraph's 5-word shingles are reduced to
+*Paragraphs* are lines of at least ``LINE_WORDS`` words. A paragraph's 5-word shingles are reduced to
 min-hashes; ``tune`` picks the fewest bands that find a pair of Jaccard similarity ``SIMILARITY`` with
 probability ``RECALL``. All paragraphs that collide in a band are compared with each other by the exact
-Jaccard similarity of their shingle sets; links make components, and all paragraphs of a component but
-its first are removals. Equal paragraphs are one paragraph throughout.
+Jaccard similarity of their shingle sets; links make components, equal paragraphs belong to one component,
+and all paragraphs of a component but its first are removals. (An edited word takes five shingles away, so
+below 50 words a component holds little but equal lines and lines edited at an end.)
 
 *Passages* of at least ``MIN_WORDS`` words that sit anywhere inside paragraphs collide with nothing as
 parts of different lines, so the unit for them is a block of ``BLOCK`` words. Blocks start at anchors:
@@ -17,20 +18,23 @@ around a run that leave what the first occurrence shares are matched by their ha
 ``MIN_WORDS`` words are removals.
 
 The first occurrence, by (doc_id, row hash, place), always stays. Words are runs of non-white-space
-bytes, ASCII letters compared in lower case. Rows move between stages as (hash, place) numbers; texts
+bytes, ASCII letters compared in lower case. Shingles, blocks and windows are told apart by 64-bit hashes of
+64-bit hashes of their words, and the words next to a block by 32 bits of theirs. Rows move between stages as (hash, place) numbers; texts
 are shuffled once to look up words around candidate places, and once more to cut removals out.
 
 Defined cases: a null text has no words and stays null; rows that repeat both id and text count as one
 document, and all of them are cut alike; null ids sort first; an empty table gives no rows; extra
-columns pass through ``remove`` and are otherwise ignored.
+columns pass through ``remove``, whatever their names, and are otherwise ignored; a very long text is
+taken up alone.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +42,12 @@ from hudlake.llm import shared
 from hudlake.llm.embeddings import local_roots
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
-MIN_WORDS = 50
+MIN_WORDS, LINE_WORDS = 50, 20
 BLOCK = 20
 REACH = MIN_WORDS - BLOCK + 1
 PAIRED, MEMBERS, COLUMNS = 16, 128, 4096
+#: Words whose hashes a worker remembers before it forgets them all, and the longest of them.
+MOST_CODES, LONGEST_WORD = 300_000, 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -64,21 +70,35 @@ DOC_MULTIPLIERS = multipliers(DOC_BANDS * DOC_ROWS)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = (z ^ z >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
-        return z ^ z >> np.uint64(28)
+    z = (z ^ z >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
+    return z ^ z >> np.uint64(28)
 
 
 def fold(parts: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(parts[0]), "u8")
-    with np.errstate(over="ignore"):
-        for p in parts:
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p + np.uint64(1))
-    return out
+    """One hash of several columns of hashes, in their order."""
+    out = parts[0] + np.uint64(1)
+    for p in parts[1:]:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + p + np.uint64(1)
+    return mix(out)
+
+
+class Codes(dict):
+    """64-bit hash by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_WORD:
+            self[word] = code
+        return code
+
+
+CODES = Codes()
 
 
 def word_codes(lines: list[list[bytes]]) -> np.ndarray:
-    return np.array([zlib.crc32(w) for line in lines for w in line], "u8")
+    if len(CODES) > MOST_CODES:
+        CODES.clear()
+    return np.fromiter(map(CODES.__getitem__, chain.from_iterable(lines)), "u8", sum(map(len, lines)))
 
 
 def shingle_hashes(codes: np.ndarray) -> np.ndarray:
@@ -138,29 +158,34 @@ def units_of(text: str | None) -> dict[str, np.ndarray]:
     at = anchors(h, len(codes) - BLOCK + 1)
     sizes = np.array([len(x) for x in lines], "i8")
     starts = np.cumsum(sizes) - sizes
-    use = sizes >= MIN_WORDS
+    use = sizes >= LINE_WORDS
     starts, sizes = starts[use], sizes[use]
     bands = np.zeros((len(starts), BANDS), "u8")
     line_hash = np.zeros(len(starts), "u8")
     if len(starts):
         cuts = np.stack([starts, starts + sizes - SHINGLE + 1], axis=1).ravel()
         padded = np.concatenate([h, np.zeros(1, "u8")])
-        with np.errstate(over="ignore"):
-            low = np.stack([np.minimum.reduceat(mix(padded * m), cuts)[::2] for m in MULTIPLIERS], axis=1)
+        low = [np.minimum.reduceat(padded * m, cuts)[::2] for m in MULTIPLIERS]
         for b in range(BANDS):
-            bands[:, b] = fold([low[:, b * ROWS + r] for r in range(ROWS)] + [np.full(len(starts), b, "u8")])
-        line_hash = np.array([word_hash(codes[s : s + n]) for s, n in zip(starts, sizes)], "u8")
+            bands[:, b] = fold([*low[b * ROWS : (b + 1) * ROWS], np.full(len(starts), b, "u8")])
+        line_hash = sequence_hashes(codes, starts, sizes)
     return {
         "b_start": at, "b_hash": block_hashes(h, at),
         "l_start": starts, "l_len": sizes, "l_hash": line_hash, "bands": bands.ravel(),
     }
 
 
+def sequence_hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence of words; sequences ascend and hold a word at least."""
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), 0xD6E8FEB86659FD93, "u8"))
+    terms = mix(codes[np.repeat(starts, sizes) + place] + np.uint64(1)) * powers[place]
+    return mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes))
+
+
 def word_hash(codes: np.ndarray) -> int:
-    """A 64-bit hash of a sequence of words."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(codes), 0xD6E8FEB86659FD93, "u8"))
-        return int(mix(np.array([(mix(codes + np.uint64(1)) * powers).sum()], "u8"))[0])
+    """A 64-bit hash of one sequence of words, which may be empty."""
+    return int(sequence_hashes(codes, np.array([0]), np.array([len(codes)]))[0]) if len(codes) else 0
 
 
 def row_hash() -> Column:
@@ -199,11 +224,14 @@ def runs(staged: DataFrame) -> DataFrame:
         "rid", "doc_id", F.col("b.b_start").alias("start"), F.col("b.b_hash").alias("h")
     )
     first = blocks.groupBy("h").agg(F.min(F.struct("doc_id", "rid", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h", (F.col("n") > 2).alias("crowd"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.rid").alias("of_rid"), F.col("f.start").alias("of_start"))
+    # A table of its own, so that adaptive execution can split the join where one block has very many holders.
+    first = shared.stage(first.select("h", (F.col("n") > 2).alias("crowd"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.rid").alias("of_rid"), F.col("f.start").alias("of_start")), "first")
     again = blocks.join(first, "h").where("rid != of_rid OR start != of_start").select(
         "rid", "doc_id", "start", "of_rid", "of_doc_id", (F.col("start") - F.col("of_start")).alias("shift"), "crowd"
     ).distinct()
-    return touching(again.select("rid", "doc_id", F.col("start").alias("s"), (F.col("start") + BLOCK).alias("e"), "of_rid", "of_doc_id", "shift", "crowd"))
+    found = shared.stage(touching(again.select("rid", "doc_id", F.col("start").alias("s"), (F.col("start") + BLOCK).alias("e"), "of_rid", "of_doc_id", "shift", "crowd")), "runs")
+    shared.drop_stage(first)
+    return found
 
 
 def touching(spans: DataFrame) -> DataFrame:
@@ -304,7 +332,7 @@ def document_keys(h: np.ndarray) -> np.ndarray:
     """Band keys of a whole document, of its shingle hashes; none without shingles."""
     if not len(h):
         return np.zeros(0, "u8")
-    low = [np.array([mix(h * m).min()], "u8") for m in DOC_MULTIPLIERS]
+    low = [(h * m).min(keepdims=True) for m in DOC_MULTIPLIERS]
     return np.concatenate([fold([*low[b * DOC_ROWS : (b + 1) * DOC_ROWS], np.full(1, b, "u8")]) for b in range(DOC_BANDS)])
 
 
@@ -339,6 +367,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     texts = keyed.select("rid", "text").join(first, "rid").select("h", "text")
     grams = shared.stage(shared.map_rows(texts, sets, "h long, grams array<long>").dropDuplicates(["h"]), "grams")
     groups = shared.stage(shared.components(near(met, grams), "h", "other"), "groups").withColumnRenamed("node", "h")
+    shared.drop_stage(met, grams)
     return staged.select("rid", "doc_id", "h").join(groups, "h", "left").select("rid", "doc_id", F.coalesce("component", "h").alias("component"))
 
 
@@ -383,7 +412,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.groupBy("rid", "s", "e").agg(F.max("whole").alias("whole"), F.max("crowd").alias("crowd")).groupBy("rid").agg(
         F.collect_list(F.struct("s", "e", "whole", "crowd")).alias("asked")
     )
-    texts = docs.select(row_hash().alias("rid"), "text").join(asked, "rid")
+    texts = docs.select(row_hash().alias("rid"), "text").join(asked, "rid").dropDuplicates(["rid"])
 
     def make():
         def work(columns):
@@ -406,7 +435,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     return shared.map_rows(
         texts, make, "rid long, s int, e int, left array<int>, right array<int>, grams array<long>, crowd boolean, words int, w_hash array<long>"
-    ).dropDuplicates(["rid", "s", "e"])
+    )
 
 
 def same_length(a: str, b: str) -> str:
@@ -416,17 +445,37 @@ def same_length(a: str, b: str) -> str:
     return f"CASE WHEN {at} = 0 THEN {n} ELSE cast({at} AS int) - 1 END"
 
 
-SPAN = ["rid", "doc_id", "s", "e", "of_rid", "of_doc_id", "of_s"]
+SPAN = ["rid", "doc_id", "s", "e", "of_rid", "of_doc_id", "of_s", "component"]
+
+
+def companions(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """(h, met, doc_id, rid, s, e): first occurrence of each paragraph that has an equal one or met a different one in a band."""
+    each = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "s", "e")).alias("f"))
+    names = met.select("h").distinct().withColumn("met", F.lit(True))
+    return each.join(names, "h", "left").where("n > 1 OR met").select("h", F.coalesce("met", F.lit(False)).alias("met"), "f.*")
+
+
+def repeated_paragraphs(heads: DataFrame, held: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spans of all paragraphs of a component but its first; a paragraph without links is a component with its equals."""
+    named = heads.join(groups, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    kept = named.groupBy("component").agg(F.min(F.struct("doc_id", "rid", "s")).alias("f"))
+    named = shared.stage(named.join(kept, "component").select("h", "component", F.col("f.rid").alias("of_rid"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.s").alias("of_s")), "named")
+    return held.join(named, "h").where("rid != of_rid OR s != of_s").select(SPAN)
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, s, e, of_rid, of_doc_id, of_s): word spans to remove, each with the copy that stays."""
+    """(rid, doc_id, s, e, of_rid, of_doc_id, of_s, component): word spans to remove, each with the copy that stays, as a staged table.
+
+    ``component`` names the component of a paragraph; for passages it is null.
+    """
     staged = shared.stage(units(docs), "units")
-    found = shared.stage(runs(staged), "runs")
+    found = runs(staged)
     met = shared.stage(collisions(staged), "met")
     lines = paragraphs(staged)
-    names = met.select("h").distinct()
-    firsts = shared.stage(lines.join(names, "h").groupBy("h").agg(F.min(F.struct("doc_id", "rid", "s", "e")).alias("f")).select("h", "f.*"), "firsts")
+    heads = shared.stage(companions(lines, met), "heads")
+    held = shared.stage(lines.join(heads.select("h"), "h"), "held")
+    shared.drop_stage(staged)
+    firsts = heads.where("met")
     wanted = found.select("rid", "s", "e", F.lit(False).alias("whole"), "crowd").union(
         found.select("of_rid", F.col("s") - F.col("shift"), F.col("e") - F.col("shift"), F.lit(False), "crowd")
     ).union(firsts.select("rid", "s", "e", F.lit(True), F.lit(False)))
@@ -442,22 +491,25 @@ def removals(docs: DataFrame) -> DataFrame:
         "rid", "doc_id", "s", "e", "before", "after", "of_rid", "of_doc_id", "os", "oe", "shift", "crowd", F.col("x.w").alias("w"), F.col("x.w_hash").alias("w_hash")
     )
     matched = shared.stage(matched, "matched")
+    shared.drop_stage(found)
     direct = touching(matched.select(
         "rid", "doc_id", (F.col("s") - F.col("before")).alias("s"), (F.col("e") + F.col("after")).alias("e"), "of_rid", "of_doc_id", "shift", "crowd"
     )).where(F.col("e") - F.col("s") >= MIN_WORDS)
-    direct = shared.stage(direct, "passages")
+    direct = shared.stage(direct, "direct")
     within = [F.col("w.rid") == F.col("c.rid"), F.col("c.from") <= F.col("w.s"), F.col("w.e") <= F.col("c.to")]
     rest = elsewhere(matched, around).alias("w").join(covered(direct).alias("c"), within, "left_anti")
-    passages = touching(direct.union(rest)).withColumn("of_s", F.col("s") - F.col("shift"))
+    passages = touching(direct.union(rest)).withColumns({"of_s": F.col("s") - F.col("shift"), "component": F.lit(None).cast("long")})
+    passages = shared.stage(passages.select(SPAN), "passages")
+    shared.drop_stage(matched, direct)
 
-    grams = firsts.join(around.select("rid", "s", "e", "grams"), ["rid", "s", "e"]).select("h", "grams")
+    grams = shared.stage(firsts.join(around.select("rid", "s", "e", "grams"), ["rid", "s", "e"]).select("h", "grams"), "grams")
+    shared.drop_stage(around)
     groups = shared.stage(shared.components(near(met, grams), "h", "other"), "groups").select(F.col("node").alias("h"), "component")
-    members = shared.stage(lines.join(groups, "h").select("component", "rid", "doc_id", "s", "e"), "members")
-    kept = members.groupBy("component").agg(F.min(F.struct("doc_id", "rid", "s")).alias("f"))
-    whole = members.join(kept, "component").where("rid != f.rid OR s != f.s").select(
-        "rid", "doc_id", "s", "e", F.col("f.rid").alias("of_rid"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.s").alias("of_s")
-    )
-    return passages.select(SPAN).union(whole.select(SPAN)).distinct()
+    shared.drop_stage(met, grams)
+    both = passages.union(repeated_paragraphs(heads, held, groups)).groupBy(SPAN[:-1]).agg(F.max("component").alias("component"))
+    spans = shared.stage(both, "spans")
+    shared.drop_stage(passages, heads, held)
+    return spans
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -478,8 +530,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of ``text``."""
-    held = spans.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("s", "e")).alias("_spans"))
-    joined = docs.withColumn("_rid", row_hash()).join(held, "_rid", "left")
+    rid, cuts = (shared.free_name(docs.columns, n) for n in ("_rid", "_spans"))
+    held = spans.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("s", "e")).alias(cuts))
+    joined = docs.withColumn(rid, row_hash()).join(held, rid, "left")
     at, names = docs.columns.index("text"), docs.columns
     target = docs.schema
 
@@ -489,8 +542,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         arrow = to_arrow_schema(target)
         for batch in batches:
-            for lo in range(0, batch.num_rows, shared.SLICE_ROWS):
-                part = batch.slice(lo, shared.SLICE_ROWS)
+            for part in shared.slices(batch):
                 texts = [
                     cut(t, [(x["s"], x["e"]) for x in sp]) if t is not None and sp else t
                     for t, sp in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())
@@ -499,11 +551,11 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 columns[at] = pa.array(texts, "string")
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.select(*names, "_spans").mapInArrow(run, target)
+    return joined.select(*names, cuts).mapInArrow(run, target)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return removals(docs).select(
-        "doc_id", F.col("s").alias("start_word"), (F.col("e") - F.col("s")).alias("n_words"), F.col("of_doc_id").alias("kept_doc_id"), F.col("of_s").alias("kept_start_word")
+        "doc_id", F.col("s").alias("start_word"), (F.col("e") - F.col("s")).alias("n_words"), F.col("of_doc_id").alias("kept_doc_id"), F.col("of_s").alias("kept_start_word"), F.col("component").alias("component_id")
     )

@@ -187,3 +187,49 @@ def test_copies_at_periodic_stretches(spark):
     for r in spans:
         gone.setdefault(r.doc_id, set()).update(range(r.s, r.e))
     assert all(wanted[k] <= gone.get(k, set()) for k in wanted)
+
+
+def test_repeats_beyond_the_first_occurrence(spark):
+    """Two documents share 60 words of which two earlier ones hold the first 36 and the last 36."""
+    p = say(60).split()
+    texts = {0: f"{say(30)} {' '.join(p[:36])}", 1: f"{' '.join(p[24:])} {say(30)}", 5: f"{say(11)} {' '.join(p)} {say(11)}", 6: f"{say(5)} {' '.join(p)} {say(9)}"}
+    spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.s, r.e, r.of_doc_id, r.of_s) for r in spans] == [(6, 5, 65, 5, 11)]
+
+
+def test_equal_short_paragraphs_are_one_component(spark):
+    line, other = say(40), say(20)
+    texts = {i: f"{say(30)}\n{line}\n{say(9)}" for i in range(5)} | {i: f"{say(12)}\n{other.upper()}" for i in (7, 9)} | {11: f"x {say(19)}", 12: say(19)}
+    spans = S.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.s, r.e, r.of_doc_id, r.of_s) for r in spans) == [(i, 30, 70, 0, 30) for i in range(1, 5)] + [(9, 12, 32, 7, 12)]
+    assert len({r.component for r in spans if r.doc_id < 5}) == 1 and all(r.component is not None for r in spans)
+
+
+def test_recall_of_links_among_boilerplate(spark):
+    """Pairs of Jaccard similarity 0.8 and more among paragraphs that share much of their wording."""
+    for shared_words, total in ((0, 120), (60, 120), (90, 130)):
+        common_, texts = say(shared_words).split(), []
+        for _ in range(250):
+            own = say(total - shared_words).split()
+            texts.append(" ".join(common_ + own))
+            own[rng.randrange(5, len(own) - 5)] = "edited"
+            texts.append(" ".join(common_ + own))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        staged = shared.stage(S.units(docs), "units")
+        met = shared.stage(S.collisions(staged), "met")
+        hashes = {r.doc_id: r.l_hash[0] for r in staged.collect()}
+        sets = [np.unique(S.shingle_hashes(S.word_codes(S.split(t)))).view("i8") for t in texts]
+        grams = spark.createDataFrame([(hashes[i], g.tolist()) for i, g in enumerate(sets)], "h long, grams array<long>")
+        group = {r.node: r.component for r in shared.components(S.near(met, grams), "h", "other").collect()}
+        pairs = [(i, i + 1) for i in range(0, 500, 2) if len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1]))]
+        found = sum(hashes[i] in group and group[hashes[i]] == group.get(hashes[j]) for i, j in pairs)
+        assert len(pairs) == 250 and found >= 0.95 * len(pairs)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    line, long = say(60), " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, f"{line}\n{long}", 5, 6, 7), (2, f"{say(9)}\n{line}", 5, 6, 7), (3, long, 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rid long, _spans long, component long")
+    out = {r.doc_id: r for r in S.remove(docs, S.removals(docs)).collect()}
+    assert out[1].text == rows[0][1] and out[2].text.split() == rows[1][1].split()[:9] and out[3].text == ""
+    assert all(tuple(r)[2:] == (5, 6, 7) for r in out.values())
