@@ -123,3 +123,30 @@ def test_near_documents_leave_one(spark, corpus):
     docs = spark.createDataFrame([(k, t, "en", "a", 3) for k, t in texts.items()], SCHEMA)
     assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, corpus[0]).collect()} == set(root.values())
     assert len(set(root.values())) < len(texts) - 40
+
+
+def test_clashing_columns_go_through(spark, corpus, tmp_path):
+    """Columns named like the stages' own, a map, null ids, repeated rows and a very long text come out as they went in."""
+    folder, texts, *_ = corpus
+    long = say(60_000)
+    schema = SCHEMA + ", score double, _row long, _n long, _rid long, _spans long, _whole long, spare map<string,long>"
+    extra = (0.5, 1, 2, 3, 4, 5, {"k": 1})
+    rows = [(k, t, "en", "src", len(t or ""), *extra) for k, t in texts.items()]
+    rows += [(None, texts[3], None, None, None, *extra)] * 3 + [(900, long, "en", "src", len(long), *extra)] * 2
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all((r.score, r._row, r._n, r._rid, r._spans, r._whole, r.spare) == extra for r in got)
+        assert all(r.text == long for r in got if r.doc_id == 900)
+        if name == "simhash_near_dedup":
+            assert sum(r.doc_id == 900 for r in got) == 1 and sum(r.text == texts[3] for r in got) == 1
+        if name == "substring_dedup":  # the null id comes first and keeps its text
+            assert sum(r.doc_id == 900 for r in got) == 2 and [r.text for r in got if r.doc_id is None] == [texts[3]] * 3
+    packed = P.STAGES[-1][1](spark, docs, folder)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in rows_of(docs)}
+
+
+def rows_of(df):
+    return df.select("doc_id").collect()
