@@ -381,8 +381,8 @@ def window_hashes(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (fold([h[w + SHINGLE * k] for k in range(MIN_WORDS // SHINGLE)]) if len(w) else np.zeros(0, "u8")).view("i8")
 
 
-def elsewhere(found: DataFrame, around: DataFrame) -> DataFrame:
-    """Windows beside runs that repeat in other places than the run's first occurrence, as spans.
+def elsewhere(found: DataFrame, around: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows beside runs that repeat in other places than the run's first occurrence, as spans; and a staged table behind them.
 
     ``found`` has the windows of each run that leave what its first occurrence shares; they are compared, by
     hash, with each other and with the windows beside first occurrences.
@@ -392,9 +392,9 @@ def elsewhere(found: DataFrame, around: DataFrame) -> DataFrame:
     theirs = found.where(F.size("w") > 0).select(F.col("of_rid").alias("rid"), F.col("of_doc_id").alias("doc_id"), F.col("os").alias("s"), F.col("oe").alias("e")).distinct()
     theirs = theirs.join(with_windows(around.where("crowd")), ["rid", "s", "e"]).select("rid", "doc_id", opened).select("rid", "doc_id", "x.w", "x.w_hash")
     first = ours.union(theirs).groupBy("h").agg(F.min(F.struct("doc_id", "rid", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h", F.col("f.rid").alias("of_rid"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.s").alias("of_s"))
+    first = shared.stage(first.select("h", F.col("f.rid").alias("of_rid"), F.col("f.doc_id").alias("of_doc_id"), F.col("f.s").alias("of_s")), "windows")
     again = ours.join(first, "h").where(f"rid != of_rid OR s - of_s >= {MIN_WORDS}")
-    return again.select("rid", "doc_id", "s", (F.col("s") + MIN_WORDS).alias("e"), "of_rid", "of_doc_id", (F.col("s") - F.col("of_s")).alias("shift"), F.lit(True).alias("crowd"))
+    return again.select("rid", "doc_id", "s", (F.col("s") + MIN_WORDS).alias("e"), "of_rid", "of_doc_id", (F.col("s") - F.col("of_s")).alias("shift"), F.lit(True).alias("crowd")), first
 
 
 def with_windows(spots: DataFrame) -> DataFrame:
@@ -497,10 +497,11 @@ def removals(docs: DataFrame) -> DataFrame:
     )).where(F.col("e") - F.col("s") >= MIN_WORDS)
     direct = shared.stage(direct, "direct")
     within = [F.col("w.rid") == F.col("c.rid"), F.col("c.from") <= F.col("w.s"), F.col("w.e") <= F.col("c.to")]
-    rest = elsewhere(matched, around).alias("w").join(covered(direct).alias("c"), within, "left_anti")
+    beside, window_heads = elsewhere(matched, around)
+    rest = beside.alias("w").join(covered(direct).alias("c"), within, "left_anti")
     passages = touching(direct.union(rest)).withColumns({"of_s": F.col("s") - F.col("shift"), "component": F.lit(None).cast("long")})
     passages = shared.stage(passages.select(SPAN), "passages")
-    shared.drop_stage(matched, direct)
+    shared.drop_stage(matched, direct, window_heads)
 
     grams = shared.stage(firsts.join(around.select("rid", "s", "e", "grams"), ["rid", "s", "e"]).select("h", "grams"), "grams")
     shared.drop_stage(around)

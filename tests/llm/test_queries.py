@@ -1,0 +1,155 @@
+"""Every registered query over the smallest tables, its final columns against plain versions of the contract."""
+
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+from hudlake.llm import queries, quality, tokens
+from tokenizers import Tokenizer
+
+from tests.llm.test_simhash import brute, groups
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+
+
+@pytest.fixture(scope="module")
+def ids(docs):
+    tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
+    tokenizer.encode_special_tokens = True
+    return {k: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for k, t in zip(docs.doc_id, docs.text)}
+
+
+def run(spark, name):
+    return queries.QUERIES[name](spark, SF).toPandas()
+
+
+def remainder(k, n):
+    return zlib.crc32(str(k).encode()) % n
+
+
+def test_op1(spark, docs):
+    got = run(spark, "op1_substring_dedup")
+    words = {k: WORD.findall((t or "")) for k, t in zip(docs.doc_id, docs.text)}
+    assert len(got) and (got.doc_id >= got.kept_doc_id).all()
+    for r in got.itertuples():
+        a = [w.lower() for w in words[r.doc_id][r.start_word : r.start_word + r.n_words]]
+        b = [w.lower() for w in words[r.kept_doc_id][r.kept_start_word : r.kept_start_word + r.n_words]]
+        assert len(a) == r.n_words and (a == b or not pd.isna(r.component_id))
+
+
+def test_op2(spark):
+    got = run(spark, "op2_embedding_near_dedup").set_index("vec_id")
+    e = pd.read_parquet(f"{SF}/embeddings.parquet")
+    x = np.stack([np.array(v, "f8") for v in e.embedding])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= 0.93) & (e.label.to_numpy()[:, None] == e.label.to_numpy()[None, :])
+    np.fill_diagonal(link, False)
+    root = np.arange(len(e))
+    for _ in range(len(e)):
+        new = np.array([min(root[i], root[link[i]].min(initial=root[i])) for i in range(len(e))])
+        if (new == root).all():
+            break
+        root = new
+    order = e.vec_id.to_numpy()
+    assert (np.diff(order) > 0).all()
+    found = got.loc[order]
+    assert found.n_links.sum() >= 0.9 * link.sum() and (found.n_links.to_numpy() <= link.sum(1)).all()
+    same = (found.component_id.to_numpy() == order[root]).mean()
+    assert same >= 0.9 and (found.kept == (found.index == found.component_id)).all()
+
+
+def test_op3(spark, docs):
+    got = run(spark, "op3_simhash_near_dedup").set_index("doc_id")
+    prints = {k: brute(t) for k, t in zip(docs.doc_id, docs.text)}
+    assert {k: f"{v & (1 << 64) - 1:016x}" for k, v in prints.items()} == got.fingerprint.to_dict()
+    assert groups(prints) == got.component_id.to_dict()
+
+
+def test_op4(spark, docs):
+    got = run(spark, "op4_toxicity").set_index("doc_id")
+    assert set(got.index) == set(docs.doc_id) and got.score.between(0, 1).all()
+    assert (got.predicted == (got.score >= 0.7)).all() and all(got.held_out[k] == (remainder(k, 3) == 1) for k in got.index)
+
+
+def test_op6(spark, ids):
+    got = run(spark, "op6_best_fit_packing").sort_values(["doc_id", "piece"])
+    for k, rows in got.groupby("doc_id"):
+        at = 0
+        for p, r in enumerate(rows.itertuples()):
+            assert (r.piece, r.start) == (p, at) and r.ids_crc32 == zlib.crc32(ids[k][at : at + r.length].tobytes())
+            assert r.length == 2048 or p == 0
+            at += r.length
+        assert at == len(ids[k])
+    assert set(got.doc_id) == set(ids)
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert (np.concatenate([[0], np.cumsum(rows.length)])[:-1] == rows.offset).all() and rows.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= -(-int(got.length.sum()) // 2048) + 2
+
+
+def test_op7(spark, docs):
+    got = run(spark, "op7_sampled_pieces")
+    assert sorted(got.doc_id) == list(docs.doc_id) and got.lossless.all()
+
+
+def test_op8(spark, docs):
+    got = run(spark, "op8_quality_rules").set_index("doc_id")
+    for k, t in zip(docs.doc_id, docs.text):
+        words, lines = WORD.findall(t or ""), (t or "").split("\n")
+        seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        dup = sum(bool(WORD.search(x)) and x in lines[:i] for i, x in enumerate(lines))
+        r = got.loc[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered))
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r.base_failed and r.kept)
+
+
+def test_path_lengths_of_the_forest():
+    """Scores against a walk down each tree, one row at a time."""
+    x = np.random.default_rng(3).normal(size=(400, 4))
+    forest = quality.Forest(x, trees=15, rows=64)
+    far = np.concatenate([x[:40], [[9.0, 9, 9, 9]]])
+    got = forest.score(far)
+    for row, score in zip(far, got):
+        lengths = []
+        for column, cut, left, right, length in forest.trees:
+            at = 0
+            while column[at] >= 0:
+                at = left[at] if row[column[at]] <= cut[at] else right[at]
+            lengths.append(length[at])
+        assert np.isclose(score, 2 ** (-np.mean(lengths) / quality.unsuccessful(64)))
+    assert got[-1] == got.max()
+
+
+def test_op9(spark, docs):
+    got = run(spark, "op9_lattice_scoring").set_index("doc_id")
+    low = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")]
+    count = Counter()
+    for k, t in zip(docs.doc_id, docs.text):
+        if remainder(k, 10):
+            count.update([*low(t), None])
+    total = sum(count.values())
+    for k, t in zip(docs.doc_id, docs.text):
+        w, r = [*low(t), None], got.loc[k]
+        base = np.log10((np.array([count[x] for x in w]) + 0.1) / (total + 0.1 * (len(count) + 1))).sum()
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(count[x] > 0 for x in w), total, remainder(k, 10) == 0)
+        assert np.isclose(r.base_score, base) and r.score < 0
+
+
+def test_op10(spark, ids):
+    got = run(spark, "op10_token_records").set_index("doc_id")
+    at = 0
+    for k in sorted(ids):
+        assert (got.start[k], got.n_tokens[k], got.ids_crc32[k]) == (at, len(ids[k]), zlib.crc32(ids[k].tobytes()))
+        at += len(ids[k])
+    assert len(got) == len(ids)
