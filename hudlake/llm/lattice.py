@@ -21,11 +21,12 @@ parts, segment by segment, so that only a single segment (a word without a space
 from __future__ import annotations
 
 import re
-from functools import cache
 from math import log
 
 import numpy as np
 
+from hudlake.llm.shared import resident
+
 SHIFT, END_RANK = 2.7, 50
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 BATCH_CHARS = 250_000
@@ -314,13 +315,11 @@ def decode(v: Vocabulary, ids: bytes | None) -> str:
     return b"".join(map(v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
 
 
-@cache
 def vocabulary(path: str | None = None) -> Vocabulary:
     """One vocabulary a Python worker."""
-    return Vocabulary(path)
+    return resident(__name__, ("vocabulary", path), lambda: Vocabulary(path))
 
 
-@cache
 def marginals(path: str | None = None) -> Marginals:
     """One store a Python worker, so that it outlives a task."""
-    return Marginals(vocabulary(path))
+    return resident(__name__, ("marginals", path), lambda: Marginals(vocabulary(path)))

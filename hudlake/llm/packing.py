@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: i
 
         return work
 
-    return shared.map_rows(docs.select(F.col(key).cast("long"), text), make, PIECES)
+    return shared.map_rows(docs.select(F.col(key).cast("long"), text), make, PIECES, owner=tokens.__name__)
 
 
 def pack(items: DataFrame, sequence: int = SEQUENCE, size: str = "length") -> DataFrame:
@@ -261,7 +261,7 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, size: str = "length") -> Da
                 off[mine] = table[row, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(off)], schema=arrow)
 
-    return ranked.mapInArrow(place, target)
+    return shared.map_arrow(ranked, place, target)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

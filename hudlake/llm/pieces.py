@@ -41,7 +41,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
 
         return work
 
-    return shared.map_rows(keyed(docs, key, text, seed), make, "doc_id long, text string, n_pieces long, ids binary", lattice.BATCH_ROWS)
+    return shared.map_rows(keyed(docs, key, text, seed), make, "doc_id long, text string, n_pieces long, ids binary", lattice.BATCH_ROWS, lattice.__name__)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return lambda columns: dict(zip(names, columns)) | {"decoded": [lattice.decode(v, x) for x in columns[at]]}
 
     fields = ", ".join(f"{n} {t}" for n, t in encoded.dtypes)
-    return shared.map_rows(encoded, make, f"{fields}, decoded string")
+    return shared.map_rows(encoded, make, f"{fields}, decoded string", owner=lattice.__name__)
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: i
         return work
 
     return shared.map_rows(
-        keyed(docs, key, text, seed), make, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean", lattice.BATCH_ROWS
+        keyed(docs, key, text, seed), make, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean", lattice.BATCH_ROWS, lattice.__name__
     )
 
 

@@ -203,7 +203,7 @@ def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
             score = forest.score(excesses(rules, low, high))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-n], pa.array(score)], schema=arrow)
 
-    scored = ruled.mapInArrow(run, target)
+    scored = shared.map_arrow(ruled, run, target)
     step = F.ceil(F.col("anomaly") * SCORE_STEPS)
     good = known.where("quality = 1").select("doc_id")
     histogram = scored.where(~F.col("base_failed")).join(good, "doc_id").groupBy(step.alias("s")).count().collect()

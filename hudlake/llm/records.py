@@ -212,7 +212,7 @@ def write(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vo
                 {"shard": pa.array([shard], "int32"), "path": [f"{uri}/shard-{shard:05d}"], "records": [len(offsets) - 1], "tokens": [total], "bytes": [at]}
             )
 
-    return shared.stage(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return shared.stage(shared.map_arrow(ordered, run, MANIFEST, tokens.__name__), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read(manifest: DataFrame) -> DataFrame:
                             {"id": pa.array([k for k, _ in found], "int64"), "start": starts, "n_tokens": sizes, "ids": pa.array([x for _, x in found], "binary")}
                         )
 
-    return spread.mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    return shared.map_arrow(spread, run, "id long, start long, n_tokens long, ids binary")
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

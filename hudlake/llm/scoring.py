@@ -67,7 +67,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             seen[None] = texts
         yield out()
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return shared.map_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def hot_words(counts: DataFrame, most: int = HOT_WORDS) -> dict[bytes, int]:
@@ -115,7 +115,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     first = shared.stage(shared.map_rows(
         docs.select(F.col(key).cast("long"), text), make,
         "row long, doc_id long, n_tokens long, n_hot long, hot_log double, score double, cold array<struct<word:binary,n:long>>",
-        lattice.BATCH_ROWS,
+        lattice.BATCH_ROWS, lattice.__name__,
     ), "scored")
     tail = first.where("size(cold) > 0").select("row", F.explode("cold").alias("t")).select("row", "t.word", "t.n")
     c = F.coalesce("c", F.lit(0))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from hudlake.sources.tables import table  # noqa: F401 - the operators take both from here
 from hudlake.staging import drop_stage, new_path, shared_folder, stage  # noqa: F401
 
-#: Rows, and bytes of texts, of one Arrow batch that Python turns into objects at a time. A batch itself is held
-#: to ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) by Spark.
+#: Rows, and bytes of texts, of one Arrow batch that Python turns into objects at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Bytes of one Arrow batch. A session whose limit is higher (Spark's own is 64 MB) is held to this one: a batch
+#: lies in the JVM's direct memory and in the Python worker at once, for each core.
+ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Classes of hashes by which a sample's bound is worked out.
 SAMPLE_CLASSES = 1 << 12
 
@@ -43,11 +45,58 @@ def slices(batch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
         at = stop
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+_residents: dict[str, dict] = {}
+
+
+def resident(owner: str, key, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: ``make()``, once for each ``key`` of the module ``owner``."""
+    mine = _residents.setdefault(owner, {})
+    if key not in mine:
+        mine[key] = make()
+    return mine[key]
+
+
+def vacate(owner: str) -> None:
+    """Drop what modules other than ``owner`` keep in this worker: another stage runs now."""
+    for other in [o for o in _residents if o != owner]:
+        del _residents[other]
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, for its worker lives on beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, owner: str = "") -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, by workers that keep only ``owner``'s residents and give memory back."""
+    conf = df.sparkSession.conf
+    held = conf.get(ARROW_LIMIT).lower()
+    if not held.removesuffix("b").isdigit() or int(held.removesuffix("b")) > ARROW_BYTES:  # with another unit, set it anew
+        conf.set(ARROW_LIMIT, str(ARROW_BYTES))
+
+    def bounded(batches: Iterator) -> Iterator:
+        vacate(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], schema: str, rows: int = SLICE_ROWS, owner: str = "") -> DataFrame:
     """Run a Python function over column lists, ``rows`` rows and ``SLICE_BYTES`` of texts at a time.
 
     ``make`` is called once a task and returns the function, so that caches live as long as the
     task; the function gets one list per column of ``df`` and returns lists by output column.
+    ``owner`` names the module whose residents the worker keeps.
     """
     from pyspark.sql.types import _parse_datatype_string
 
@@ -65,7 +114,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str,
                 arrays = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return map_arrow(df, run, target, owner)
 
 
 def doc_remainder(doc_id: Column, modulus: int) -> Column:

@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             fp = np.fromiter((majority(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])), "i8", len(ends) - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], schema=arrow)
 
-    return hashed.mapInArrow(run, target)
+    return shared.map_arrow(hashed, run, target)
 
 
 def majority(hashes: np.ndarray) -> int:

@@ -552,7 +552,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 columns[at] = pa.array(texts, "string")
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.select(*names, cuts).mapInArrow(run, target)
+    return shared.map_arrow(joined.select(*names, cuts), run, target)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

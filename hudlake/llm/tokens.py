@@ -18,8 +18,10 @@ from functools import cache
 
 import numpy as np
 
-#: Remembered pre-tokens before the dictionary is emptied (some 100 MB), and the longest of them.
-MOST_WORDS, LONGEST_WORD = 500_000, 64
+from hudlake.llm.shared import resident
+
+#: Remembered pre-tokens before the dictionary is emptied (some 60 MB), and the longest of them.
+MOST_WORDS, LONGEST_WORD = 250_000, 64
 END_ID = 0
 
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -90,7 +92,6 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, PRETOKEN.findall(text)))
 
 
-@cache
 def encoder(path: str | None = None) -> Callable[[str | None], bytes]:
-    """One encoder a Python worker, so that its dictionary outlives a task."""
-    return Encoder(path).encode
+    """One encoder a Python worker, so that its dictionary outlives a task, until a stage without an encoder comes."""
+    return resident(__name__, path, lambda: Encoder(path).encode)

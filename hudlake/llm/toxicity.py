@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 found = model.score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], schema=arrow)
 
-    return docs.mapInArrow(run, target)
+    return shared.map_arrow(docs, run, target)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Null ids, repeated rows, ties and very long texts of operators whose own tests lack them."""
 
-from hudlake.llm import chat, quality, simhash
+from hudlake.llm import chat, quality, shared, simhash
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,32 @@ def test_very_long_turns_are_read_back(spark):
 def test_good_rows_that_tie_at_the_cut_stay_together():
     assert quality.calibrate({10: 999, 20: 1}) == 10  # the one row above may go
     assert quality.calibrate({10: 998, 20: 2}) == 20  # two that tie may not, so neither goes
+
+
+def test_workers_keep_only_what_the_stage_at_hand_uses():
+    made = []
+    for owner in ("a", "a", "b", "a"):
+        shared.vacate(owner)
+        shared.resident(owner, None, lambda: made.append(owner))
+    assert made == ["a", "b", "a"]
+    shared.vacate("")
+    shared.give_back()
+
+
+def test_batches_are_bounded_in_bytes_and_a_lower_limit_stays(spark):
+    before = spark.conf.get(shared.ARROW_LIMIT)
+    sizes = lambda: [r.n for r in shared.map_arrow(spark.range(40, numPartitions=1).selectExpr("repeat('x', 1000000) t"), count, "n long").collect()]
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    try:
+        spark.conf.set(shared.ARROW_LIMIT, "64m")
+        assert max(sizes()) <= 10 and int(spark.conf.get(shared.ARROW_LIMIT).removesuffix("b")) == shared.ARROW_BYTES
+        spark.conf.set(shared.ARROW_LIMIT, str(1 << 20))
+        assert max(sizes()) <= 3 and int(spark.conf.get(shared.ARROW_LIMIT).removesuffix("b")) == 1 << 20
+    finally:
+        spark.conf.set(shared.ARROW_LIMIT, before)
