@@ -40,7 +40,7 @@ SMOOTHING = 0.5
 PENALTY, ROUNDS = 1.0, 120
 THRESHOLD = 0.7
 #: Bytes of text whose n-grams are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 LOWER = np.arange(256, dtype="u1")
 LOWER[65:91] += 32
