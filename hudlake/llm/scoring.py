@@ -98,17 +98,25 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         marginals, n = lattice.marginals(vocabulary), TaskContext.get().partitionId() << 40
 
         def work(columns):
+            import pyarrow as pa
+
             nonlocal n
-            out = {c: [] for c in ("row", "doc_id", "n_tokens", "n_hot", "hot_log", "score", "cold")}
+            out = {c: [] for c in ("row", "doc_id", "n_tokens", "n_hot", "hot_log", "score")}
+            rare, times, ends = [], [], [0]
             for k, t, lp in zip(*columns, marginals.texts(columns[1])):
                 words = tokens(t)
                 found = list(map(logs.get, words))
                 missing = found.count(None)
-                cold = Counter(w for w, f in zip(words, found) if f is None) if missing else {}
-                for name, v in zip(out, (n, k, len(words) + 1, len(words) - missing + end_known, sum(filter(None, found)) + end_log, lp, [{"word": w, "n": c} for w, c in cold.items()])):
+                cold = Counter([w for w, f in zip(words, found) if f is None]) if missing else {}
+                rare.extend(cold)
+                times.extend(cold.values())
+                ends.append(len(rare))
+                for name, v in zip(out, (n, k, len(words) + 1, len(words) - missing + end_known, sum(filter(None, found)) + end_log, lp)):
                     out[name].append(v)
                 n += 1
-            return out
+            fields = [pa.field("word", "binary"), pa.field("n", "int64")]
+            flat = pa.StructArray.from_arrays([pa.array(rare, "binary"), pa.array(times, "int64")], fields=fields)
+            return out | {"cold": pa.ListArray.from_arrays(pa.array(ends, "int32"), flat)}
 
         return work
 

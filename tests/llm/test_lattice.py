@@ -151,3 +151,16 @@ def test_score_without_rows(spark):
 def test_likely_text_scores_higher():
     m = lattice.Marginals(V)
     assert m.text("the house and the street") > m.text("xq zvv kkj wwp qqz ttrr")
+
+
+@given(st.text("ab \n\r\t\0\u2581é", max_size=20))
+@settings(max_examples=2000, deadline=None)
+def test_quick_cuts_are_those_of_the_pattern(text):
+    assert lattice.segments(text) == (lattice.SEGMENT.findall(" " + text) if text else [])
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 16, 70_000, 1 << 20])
+def test_radix_order_is_the_stable_order(most):
+    x = np.random.default_rng(most).integers(0, most, 50_000)
+    assert (lattice.stable_order(x) == np.argsort(x, kind="stable")).all()
+    assert lattice.stable_order(x[:0]).size == 0
