@@ -42,6 +42,8 @@ BLOCK = 256
 HEAD = struct.Struct("<BqBI")
 #: Bytes of input files that make a shard, and least shards for each core.
 SHARD_BYTES, CORE_SHARDS = 64 << 20, 4
+#: Pre-tokens that a worker remembers (some 120 MB): it holds little else here.
+MOST_WORDS = 500_000
 
 
 @cache
@@ -186,7 +188,7 @@ def write(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vo
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = tokens.encoder(vocabulary), np.array([tokens.END_ID], "<u4").tobytes()
+        encode, end = tokens.encoder(vocabulary, MOST_WORDS), np.array([tokens.END_ID], "<u4").tobytes()
         folder, root = open_folder(uri)
         folder.create_dir(root, recursive=True)
         stem, mine = f"{root}/shard-{shard:05d}", uuid.uuid4().hex

@@ -71,7 +71,8 @@ class Words(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids as bytes, without an end id."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, most: int | None = None):
+        self.most = most or MOST_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,11 +88,11 @@ class Encoder:
             return b""
         if OTHER.search(text):
             return self.plain(text)
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > self.most:
             self.words.clear()
         return b"".join(map(self.words.__getitem__, PRETOKEN.findall(text)))
 
 
-def encoder(path: str | None = None) -> Callable[[str | None], bytes]:
+def encoder(path: str | None = None, most: int | None = None) -> Callable[[str | None], bytes]:
     """One encoder a Python worker, so that its dictionary outlives a task, until a stage without an encoder comes."""
-    return resident(__name__, path, lambda: Encoder(path).encode)
+    return resident(__name__, (path, most), lambda: Encoder(path, most).encode)
