@@ -49,9 +49,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_stage(*staged: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, df._staged_path)
