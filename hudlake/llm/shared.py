@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hudlake.sources.tables import table  # noqa: F401 - the operators take both from here
-from hudlake.staging import drop_stage, new_path, shared_folder, stage  # noqa: F401
+from hudlake.staging import drop_path, drop_stage, new_path, shared_folder, stage  # noqa: F401
 
 #: Rows, and bytes of texts, of one Arrow batch that Python turns into objects at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
