@@ -34,8 +34,8 @@ from hudlake.llm import shared, tokens
 from hudlake.sources.tables import spread
 
 LIMIT = 1024
-#: Misses that are broadcast, of 40 bytes each.
-FEW = 100_000
+#: Misses that are broadcast, of 40 bytes each: what a filled cache lacks of a table with little new in it.
+FEW = 1_000
 STORED = "digest binary, n_tokens long, version string, batch string"
 
 
