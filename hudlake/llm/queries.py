@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hudlake.llm import chat, counts, embeddings, packing, phrases, pieces, quality, records, scoring, simhash, substrings, toxicity
+from hudlake.llm import chat, codes, counts, embeddings, packing, phrases, pieces, quality, records, scoring, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lattice_scoring": scoring.op9_lattice_scoring,
     "op10_token_records": records.op10_token_records,
     "op11_token_counts": counts.op11_token_counts,
+    "op12_vector_codes": codes.op12_vector_codes,
     "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
-ORACLES: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL, "op13_phrase_collocations": phrases.OP13_SQL}
+ORACLES: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL, "op12_vector_codes": codes.OP12_SQL, "op13_phrase_collocations": phrases.OP13_SQL}

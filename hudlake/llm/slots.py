@@ -158,8 +158,8 @@ class Tally:
             yield rows[lo : lo + 32]
 
 
-def added(arrays: DataFrame, fan: int = FAN) -> DataFrame:
-    """(slot, f) with f > 0: staged ``ARRAYS`` rows of all tasks summed in a tree, ``fan`` arrays a group."""
+def tree_sum(arrays: DataFrame, fan: int = FAN) -> DataFrame:
+    """``ARRAYS`` rows, one for each ``at``: staged rows of all tasks summed in a tree, ``fan`` arrays a group."""
     last = arrays.agg(F.max("part")).first()[0]
 
     def add(group):
@@ -173,7 +173,11 @@ def added(arrays: DataFrame, fan: int = FAN) -> DataFrame:
         parts = -(-parts // fan)
         arrays = arrays.select("at", F.floor(F.col("part") / fan).cast("int").alias("part"), "counts").groupBy("at", "part").applyInArrow(add, ARRAYS)
         if parts <= 1:
-            break
+            return arrays
+
+
+def added(arrays: DataFrame, fan: int = FAN) -> DataFrame:
+    """(slot, f) with f > 0: ``tree_sum`` by slot."""
 
     def spread(batches):
         import pyarrow as pa
@@ -184,4 +188,4 @@ def added(arrays: DataFrame, fan: int = FAN) -> DataFrame:
                 some = np.flatnonzero(f)
                 yield pa.RecordBatch.from_pydict({"slot": at + some, "f": f[some]})
 
-    return shared.map_arrow(arrays.select("at", "counts"), spread, "slot long, f long", __name__)
+    return shared.map_arrow(tree_sum(arrays, fan).select("at", "counts"), spread, "slot long, f long", __name__)
