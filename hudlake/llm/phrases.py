@@ -35,8 +35,10 @@ from hudlake.llm.slots import ARRAYS, Keys, Tally, added
 LEAST, LONGEST, ABSORBED, MOST = 30, 4, 80, 2000
 UNKNOWN = "und"
 #: Distinct words or phrases that a task combines before it passes them on, and slots that one row of positions gathers.
-SEEN, ROW_WORDS = 1 << 20, 1 << 18
-MEMO_WORDS = 200_000
+SEEN, ROW_WORDS = 1 << 18, 1 << 16
+MEMO_WORDS = 100_000
+#: Bytes of texts that a task cuts into words at a time.
+TEXT_BYTES = 1 << 20
 BREAK, NOTHING = -1, -2
 END = b"\n"
 
@@ -73,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), "string"), "word": pa.array(list(words), "binary"), "n": pa.array(list(words.values()), "int64")})
 
         for batch in batches:
-            for part in shared.slices(batch):
+            for part in shared.slices(batch, size=TEXT_BYTES):
                 for lang, raw in zip(*(c.to_pylist() for c in part.columns)):
                     seen.setdefault(lang, Counter()).update(marked(raw))
                 if sum(map(len, seen.values())) > SEEN:
@@ -121,11 +123,16 @@ def slotted(table: DataFrame, keys: Keys) -> DataFrame:
 POSITIONS = f"words binary, parts binary, {ARRAYS}"
 
 
-def rows_out(words: np.ndarray | None, parts: np.ndarray | None, arrays: list):
+def slot_type(slots: int) -> str:
+    """Type in which positions hold ``slots`` slots and -1."""
+    return "<i4" if slots < 1 << 31 else "<i8"
+
+
+def rows_out(words: bytes | None, parts: bytes | None, arrays: list):
     import pyarrow as pa
 
     n = len(arrays) or 1
-    lone = [a.astype("<i8").tobytes() if a is not None else None for a in (words, parts)]
+    lone = [words, parts]
     at, part, counts = zip(*arrays) if arrays else ([None],) * 3
     return pa.RecordBatch.from_arrays(
         [pa.array([v] * n, "binary") for v in lone] + [pa.array(at, "int64"), pa.array(part, "int32"), pa.array(counts, "binary")],
@@ -144,12 +151,12 @@ def word_positions(docs: DataFrame, keys: Keys) -> DataFrame:
 
         def out():
             nonlocal held, size
-            ids = np.concatenate(held)
+            ids = np.concatenate(held).astype(slot_type(keys.total)).tobytes()
             held, size = [], 0
             return rows_out(ids, ids, [])
 
         for batch in batches:
-            for part in shared.slices(batch):
+            for part in shared.slices(batch, size=TEXT_BYTES):
                 texts = [(lang, marked(raw)) for lang, raw in zip(*(c.to_pylist() for c in part.columns))]
                 if sum(map(len, memo.values())) > MEMO_WORDS:
                     memo.clear()
@@ -192,10 +199,14 @@ def occurrences(words: np.ndarray, parts: np.ndarray, length: int, n_words: int)
     ``parts`` has the slot of the phrase of ``length`` - 1 words that begins at each position, or -1.
     """
     at = np.flatnonzero((parts[:-1] >= 0) & (parts[1:] >= 0))
-    return at, parts[at] * n_words + words[at + length - 1], parts[at + 1]
+    return at, parts[at].astype("i8") * n_words + words[at + length - 1], parts[at + 1].astype("i8")
+
 
+def opened(raw: tuple[bytes, bytes], n_words: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(raw[0], slot_type(n_words)), np.frombuffer(raw[1], slot_type(n_parts))
 
-def candidates(positions: DataFrame, length: int, n_words: int) -> DataFrame:
+
+def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int) -> DataFrame:
     """(x, ends, n): keys of possible phrases of ``length`` words, slots of their parts without the first word, and counts."""
 
     def run(batches):
@@ -216,8 +227,8 @@ def candidates(positions: DataFrame, length: int, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"x": x, "ends": ends, "n": n})
 
         for batch in batches:
-            for words, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                _, x, ends = occurrences(*(np.frombuffer(v, "<i8") for v in (words, parts)), length, n_words)
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                _, x, ends = occurrences(*opened(raw, n_words, n_parts), length, n_words)
                 x, first, n = np.unique(x, return_index=True, return_counts=True)
                 held.append((x, ends[first], n))
                 size += len(x)
@@ -234,7 +245,7 @@ def candidates(positions: DataFrame, length: int, n_words: int) -> DataFrame:
     return found.groupBy("x").agg(F.min("ends").alias("ends"), F.sum("n").alias("n"))
 
 
-def phrase_positions(positions: DataFrame, keys: Keys, length: int, n_words: int) -> DataFrame:
+def phrase_positions(positions: DataFrame, keys: Keys, length: int, n_words: int, n_parts: int) -> DataFrame:
     """``POSITIONS`` rows for phrases of ``length`` words, from those of phrases one word shorter."""
 
     def run(batches):
@@ -243,12 +254,12 @@ def phrase_positions(positions: DataFrame, keys: Keys, length: int, n_words: int
         tally = Tally(keys, TaskContext.get().partitionId())
         for batch in batches:
             for raw in zip(*(c.to_pylist() for c in batch.columns)):
-                words, parts = (np.frombuffer(v, "<i8") for v in raw)
+                words, parts = opened(raw, n_words, n_parts)
                 at, x, _ = occurrences(words, parts, length, n_words)
-                own = np.full(len(words), BREAK, "i8")
+                own = np.full(len(words), BREAK, slot_type(keys.total))
                 own[at] = keys.slots(x, np.zeros(len(x), "i8"), tally)
                 if (own >= 0).any():
-                    yield rows_out(words, own, [])
+                    yield rows_out(raw[0], own.tobytes(), [])
                 for rows in tally.take():
                     yield rows_out(None, None, rows)
         tally.flush()
@@ -282,10 +293,11 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     levels = [shared.stage(level, "phrases")]
     keys.drop(words)
     for length in range(2, longest + 1):
-        found = candidates(positions, length, n_words).where(F.col("n") >= least).select("x", F.lit(0).cast("long").alias("y"), "ends")
+        n_parts = keys.total
+        found = candidates(positions, length, n_words, n_parts).where(F.col("n") >= least).select("x", F.lit(0).cast("long").alias("y"), "ends")
         found = shared.stage(found, "candidates")
         keys = Keys(found, "phrase-keys")
-        after = shared.stage(phrase_positions(positions, keys, length, n_words), "positions")
+        after = shared.stage(phrase_positions(positions, keys, length, n_words, n_parts), "positions")
         one = slotted(found, keys).join(counted(after), "slot").select("slot", F.expr(f"x div {max(1, n_words)}").alias("pre"), "ends", "f")
         short = levels[-1]
         left = short.select(F.col("slot").alias("pre"), "lang", F.col("phrase").alias("head"), "begins")
