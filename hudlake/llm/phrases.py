@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hudlake.llm import shared
-from hudlake.llm.slots import ARRAYS, Keys, Tally, added
+from hudlake.llm.slots import ARRAYS, Keys, Tally, added, place
 
 LEAST, LONGEST, ABSORBED, MOST = 30, 4, 80, 2000
 UNKNOWN = "und"
 #: Distinct words or phrases that a task combines before it passes them on, and slots that one row of positions gathers.
 SEEN, ROW_WORDS = 1 << 18, 1 << 16
 MEMO_WORDS = 100_000
+#: Buckets that phrases are dealt into, at least.
+LEAST_BUCKETS = 64
 #: Bytes of texts that a task cuts into words at a time.
 TEXT_BYTES = 1 << 20
 BREAK, NOTHING = -1, -2
@@ -206,25 +208,26 @@ def opened(raw: tuple[bytes, bytes], n_words: int, n_parts: int) -> tuple[np.nda
     return np.frombuffer(raw[0], slot_type(n_words)), np.frombuffer(raw[1], slot_type(n_parts))
 
 
-def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int) -> DataFrame:
-    """(x, ends, n): keys of possible phrases of ``length`` words, slots of their parts without the first word, and counts."""
+def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, least: int, buckets: int) -> DataFrame:
+    """(x, ends, n): keys of the phrases of ``length`` words with n >= ``least``, slots of their parts without the first word.
+
+    Tasks combine what they see, deal it into ``buckets`` by key and pass arrays on, a row for each bucket; a bucket's arrays
+    are added up together. With a bucket for each ``SEEN`` words of the table, none holds more than some ``SEEN`` keys.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         held, size = [], 0
 
-        def merged():
-            x, ends, n = (np.concatenate(c) for c in zip(*held))
-            x, first, group = np.unique(x, return_index=True, return_inverse=True)
-            total = np.zeros(len(x), "i8")
-            np.add.at(total, group, n)
-            return x, ends[first], total
-
         def out(found):
-            for lo in range(0, len(found[0]), 1 << 16):
-                x, ends, n = (c[lo : lo + (1 << 16)] for c in found)
-                yield pa.RecordBatch.from_pydict({"x": x, "ends": ends, "n": n})
+            x, ends, n = found
+            bucket = place(x.view("u8"), np.zeros(len(x), "u8"), length, buckets).astype("i8")
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for lo in range(0, len(cuts) - 1, 256):
+                mine = [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts[lo : lo + 256], cuts[lo + 1 : lo + 257])]
+                yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in mine], "found": pa.array([np.concatenate([x[o], ends[o], n[o]]).astype("<i8").tobytes() for _, o in mine], "binary")})
 
         for batch in batches:
             for raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -233,16 +236,33 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int) ->
                 held.append((x, ends[first], n))
                 size += len(x)
                 if size > 2 * SEEN:
-                    found = merged()
+                    found = summed(held)
                     held, size = [found], len(found[0])
                     if size > SEEN:
                         yield from out(found)
                         held, size = [], 0
         if held:
-            yield from out(merged())
+            yield from out(summed(held))
+
+    def add(group):
+        import pyarrow as pa
+
+        raw = [np.frombuffer(v.as_py(), "<i8").reshape(3, -1) for v in group.column("found")]
+        x, ends, n = summed(raw)
+        kept = n >= least
+        return pa.table({"x": x[kept], "ends": ends[kept], "n": n[kept]})
+
+    found = shared.map_arrow(positions.where("words IS NOT NULL").select("words", "parts"), run, "bucket long, found binary", __name__)
+    return found.groupBy("bucket").applyInArrow(add, "x long, ends long, n long")
+
 
-    found = shared.map_arrow(positions.where("words IS NOT NULL").select("words", "parts"), run, "x long, ends long, n long", __name__)
-    return found.groupBy("x").agg(F.min("ends").alias("ends"), F.sum("n").alias("n"))
+def summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys once each, their ends, and their counts in sum, of several (keys, ends, counts)."""
+    x, ends, n = (np.concatenate(c) for c in zip(*parts))
+    x, first, group = np.unique(x, return_index=True, return_inverse=True)
+    total = np.zeros(len(x), "i8")
+    np.add.at(total, group, n)
+    return x, ends[first], total
 
 
 def phrase_positions(positions: DataFrame, keys: Keys, length: int, n_words: int, n_parts: int) -> DataFrame:
@@ -282,6 +302,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("raw"))
     counts = shared.stage(word_counts(rows), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    buckets = max(LEAST_BUCKETS, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SEEN))
     words = shared.stage(keyed_words(counts.where(F.col("n") >= least)), "words")
     keys = Keys(words, "word-keys")
     n_words = keys.total
@@ -294,7 +315,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     keys.drop(words)
     for length in range(2, longest + 1):
         n_parts = keys.total
-        found = candidates(positions, length, n_words, n_parts).where(F.col("n") >= least).select("x", F.lit(0).cast("long").alias("y"), "ends")
+        found = candidates(positions, length, n_words, n_parts, least, buckets).select("x", F.lit(0).cast("long").alias("y"), "ends")
         found = shared.stage(found, "candidates")
         keys = Keys(found, "phrase-keys")
         after = shared.stage(phrase_positions(positions, keys, length, n_words, n_parts), "positions")
