@@ -225,8 +225,9 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, le
             bucket = place(x.view("u8"), np.zeros(len(x), "u8"), length, buckets).astype("i8")
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            for lo in range(0, len(cuts) - 1, 256):
-                mine = [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts[lo : lo + 256], cuts[lo + 1 : lo + 257])]
+            many = max(1, (len(cuts) - 1) * ROW_WORDS // max(1, len(x)))  # rows of a batch: some 24 * ROW_WORDS bytes
+            for lo in range(0, len(cuts) - 1, many):
+                mine = [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts[lo : lo + many], cuts[lo + 1 : lo + many + 1])]
                 yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in mine], "found": pa.array([np.concatenate([x[o], ends[o], n[o]]).astype("<i8").tobytes() for _, o in mine], "binary")})
 
         for batch in batches:
