@@ -10,13 +10,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hudlake.schema import call_plan, region_spec
+from hudlake.schema import call_plan, id_type, region_spec
 
 # Bounds of hue (0-179), saturation and value, and the parameters of the contrast chain.
 WHITE_BOUNDS = ((0, 0, 190), (179, 60, 255))
 CYAN_BOUNDS = ((80, 50, 120), (105, 255, 255))
 CLIP, TILES = 3.0, 8
 LOCAL_BLOCK, LOCAL_OFFSET = 31, 9
+# Weights of blue, green and red, times 2 ** 15.
+GRAY_15 = (3735, 19235, 9798)
 
 
 def bounds(width: Column, height: Column, frac: dict[str, Column]) -> dict[str, Column]:
@@ -78,7 +80,8 @@ def cyan_mask(image: np.ndarray) -> np.ndarray:
 
 
 def gray(image: np.ndarray) -> np.ndarray:
-    return np.rint(image @ np.array([0.114, 0.587, 0.299])).astype("u1")
+    """0.114 B + 0.587 G + 0.299 R in fixed point of 15 bits, rounded, as 8-bit images are usually turned grey."""
+    return (image.astype("i4") @ np.array(GRAY_15) + (1 << 14) >> 15).astype("u1")
 
 
 def equalized(a: np.ndarray, clip: float = CLIP, tiles: int = TILES) -> np.ndarray:
@@ -142,7 +145,7 @@ def usable() -> Column:
 
 
 VARIANTS = {"raw": lambda x: x, "white": white_mask, "cyan": cyan_mask, "binary": lambda x: binarized(contrast(x)) if x.size else np.zeros(x.shape[:2], "u1")}
-CROPS = "image_id long, call_no int, language_code string, height int, width int, channels int, data binary"
+CROPS = "call_no int, language_code string, height int, width int, channels int, data binary"
 
 
 def crops(images: DataFrame, profile: str = "current", languages: list[str] | None = None) -> DataFrame:
@@ -166,4 +169,4 @@ def crops(images: DataFrame, profile: str = "current", languages: list[str] | No
                     out.append((row.image_id, call_no, language, x.shape[0], x.shape[1], x.shape[2] if x.ndim == 3 else 1, x.tobytes()))
                 yield pd.DataFrame(out, columns=["image_id", "call_no", "language_code", "height", "width", "channels", "data"])
 
-    return images.where(usable()).select("image_id", "height", "width", "channels", "data").mapInPandas(run, CROPS)
+    return images.where(usable()).select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id {id_type(images)}, {CROPS}")

@@ -1,7 +1,8 @@
 """Recognition as a table function with a pluggable engine.
 
 An engine is a callable (image array, language) -> blocks, where a block is (text, confidence) or
-[box, (text, confidence)], and all blocks may stand in one more list, as recognisers return them. A
+[box, (text, confidence)], and all blocks may stand in one more list, as recognisers return them. An engine with a
+method ``many(list of images, language) -> list of such answers`` gets the crops of a language in groups. A
 factory builds one engine per language; each Python worker builds an engine once and keeps it for its
 later tasks, under a name that stands for the factory and all that it holds.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hudlake.functions import playername as N
 from hudlake.operators.images import three_channels
-from hudlake.schema import OCR_LINES, call_plan
+from hudlake.schema import call_plan, id_type, ocr_lines
 from hudlake.sources.inputs import model_folders
 
 log = logging.getLogger(__name__)
@@ -86,32 +87,88 @@ def lines_of(result: Any) -> list[tuple[str, float]]:
     return out
 
 
+#: Pixels, in bytes, of the crops that an engine gets in one call, where it takes several.
+GROUP_BYTES = 16 << 20
+#: ``line_no`` of the row that stands for a crop whose engine this worker could not build; its text is the language.
+NO_ENGINE = -1
+
+
+def answers_of(engine: Callable, images: list[np.ndarray], language: str) -> list[list[tuple[str, float]]]:
+    """Lines of each image, by one call where the engine takes several; an image on which it fails has none."""
+    if hasattr(engine, "many") and len(images) > 1:
+        try:
+            found = list(engine.many(images, language))
+            if len(found) == len(images):
+                return list(map(lines_of, found))
+            log.warning("recognition (%s) gave %d answers for %d crops", language, len(found), len(images))
+        except Exception as error:  # one crop may have spoilt the call: each gets its own
+            log.warning("recognition (%s) of %d crops failed: %s", language, len(images), error)
+    out = []
+    for image in images:
+        try:
+            out.append(lines_of(engine.many([image], language)[0] if hasattr(engine, "many") else engine(image, language)))
+        except Exception as error:  # a crop that cannot be read has no lines
+            log.warning("recognition (%s) failed: %s", language, error)
+            out.append([])
+    return out
+
+
 def recognise(crops: DataFrame, factory: Factory, name: str | None = None) -> DataFrame:
     """OCR lines of crops; an empty crop and a crop on which the engine fails have none.
 
-    An engine that cannot be built fails the job: ask ``warm_workers`` first which languages there are.
+    A crop whose engine the worker cannot build gives one row with ``line_no`` ``NO_ENGINE`` instead (see ``read`` and
+    ``without_engine``): a worker that starts late, or fails alone, costs the images of its task and never the job.
+    Crops of a language are gathered over batches up to ``GROUP_BYTES``.
     """
     name = name or engine_name(factory)
 
     def run(batches):
         import pandas as pd
 
+        waiting: dict[str, list[tuple]] = {}
+        size: dict[str, int] = {}
+        failed: dict[str, bool] = {}  # a language is tried once a task
+
+        def lines(language):
+            group, out = waiting.pop(language), []
+            size[language] = 0
+            if language not in failed:
+                failed[language] = not warm(factory, [language], name)
+            if failed[language]:
+                out = [(k, call, NO_ENGINE, language, None) for k, call, _ in group]
+            else:
+                found = answers_of(engine_for(factory, language, name), [image for _, _, image in group], language)
+                out = [(k, call, i, t, c) for (k, call, _), said_ in zip(group, found) for i, (t, c) in enumerate(said_)]
+            return pd.DataFrame(out, columns=["image_id", "call_no", "line_no", "text", "confidence"]).astype({"confidence": "f8"})
+
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 if row.height == 0 or row.width == 0:
                     continue
-                image = np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.channels)
-                engine = engine_for(factory, row.language_code, name)
-                try:
-                    found = lines_of(engine(three_channels(image), row.language_code))
-                except Exception as error:  # a crop that cannot be read has no lines
-                    log.warning("recognition (%s) failed: %s", row.language_code, error)
-                    found = []
-                out += [(row.image_id, row.call_no, i, t, c) for i, (t, c) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["image_id", "call_no", "line_no", "text", "confidence"])
-
-    return crops.mapInPandas(run, OCR_LINES)
+                image = three_channels(np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.channels))
+                waiting.setdefault(row.language_code, []).append((row.image_id, row.call_no, image))
+                size[row.language_code] = size.get(row.language_code, 0) + image.nbytes
+                if size[row.language_code] >= GROUP_BYTES:
+                    yield lines(row.language_code)
+        for language in list(waiting):
+            yield lines(language)
+
+    return crops.mapInPandas(run, ocr_lines(id_type(crops)))
+
+
+def read(lines: DataFrame) -> DataFrame:
+    """The lines that were read."""
+    return lines.where(F.col("line_no") != NO_ENGINE)
+
+
+def without_engine(lines: DataFrame, profile: str = "current") -> DataFrame:
+    """(image_id, language_code) of images that lacked an engine, the first such language in the order of calls.
+
+    Profile ``legacy`` goes without a language of names; English must be there.
+    """
+    gone = lines.where(F.col("line_no") == NO_ENGINE)
+    gone = gone.where(F.col("text") == "en") if profile == "legacy" else gone
+    return gone.groupBy("image_id").agg(F.min_by("text", "call_no").alias("language_code"))
 
 
 def warm(factory: Factory, languages: list[str], name: str | None = None) -> list[str]:

@@ -108,26 +108,39 @@ def extract(lines: DataFrame, profile: str = "current") -> DataFrame:
     return records(with_region_texts(judged.groupBy("image_id").agg(ordered_texts().alias("_said_lines"), *both_names()), "_said_lines"), None, profile)
 
 
-def extract_images(
+def image_lines(
     images: DataFrame, factory: ocr.Factory, profile: str = "current", engines: str | None = None, languages: list[str] | None = None
 ) -> DataFrame:
-    """Records of images, recognising names in other scripts only where the corner shows no ASCII name.
+    """What recognition says of images (see ``ocr.recognise``), recognising names in other scripts only where the corner shows no ASCII name.
 
     An ASCII name in the corner wins over every other, so the 15 calls of the other languages cannot
     change such a record and are left out. Recognised lines are written to the shared folder: a lost
-    executor costs no second recognition. Images without a line, and rows that hold no image, get a record of
-    empty texts. ``languages`` are those of names, by default all of the profile.
+    executor costs no second recognition. ``languages`` are those of names, by default all of the profile.
     """
     languages = LANGUAGES[profile] if languages is None else languages
     english = staging.stage(ocr.recognise(crops(images, profile, ["en"]), factory, engines), "english-lines")
-    corner = N.with_corner_name(region_texts(english, profile), "bottom_left", "corner").where("corner IS NOT NULL").select("image_id")
+    corner = N.with_corner_name(region_texts(ocr.read(english), profile), "bottom_left", "corner").where("corner IS NOT NULL").select("image_id")
     open_images = images.join(corner, "image_id", "left_anti")
-    others = staging.stage(ocr.recognise(crops(open_images, profile, languages), factory, engines), "other-lines")
-    found = extract(english.union(others), profile)
+    return english.union(staging.stage(ocr.recognise(crops(open_images, profile, languages), factory, engines), "other-lines"))
+
+
+def with_empty(images: DataFrame, found: DataFrame) -> DataFrame:
+    """Records ``found`` of all ``images``; one of empty texts for those without a line."""
     none = F.struct(*[F.lit("").alias(t) for t in TEXTS])
     return images.select("image_id").join(found, "image_id", "left").withColumn("texts", F.coalesce("texts", none))
 
 
+def extract_images(
+    images: DataFrame, factory: ocr.Factory, profile: str = "current", engines: str | None = None, languages: list[str] | None = None
+) -> DataFrame:
+    """Records of images (see ``image_lines``). Images without a line, and rows that hold no image, get a record of empty texts.
+
+    A language whose engine a worker cannot build reads nothing; ``requests.answers`` turns that into a status.
+    """
+    lines = image_lines(images, factory, profile, engines, languages)
+    return with_empty(images, extract(ocr.read(lines), profile))
+
+
 def camel(name: str) -> str:
     """First part as it is, the others with a capital: top_left -> topLeft, b2c_d -> b2cD."""
     first, *rest = name.split("_")

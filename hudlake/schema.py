@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-OCR_LINES = "image_id long, call_no int, line_no int, text string, confidence double"
+
+
+def id_type(df: DataFrame) -> str:
+    """Type of the images' ids: numbers, or strings such as paths and digests; every relation carries them as they come."""
+    return dict(df.dtypes)["image_id"]
+
+
+def ocr_lines(kind: str = "long") -> str:
+    return f"image_id {kind}, call_no int, line_no int, text string, confidence double"
+
+
+OCR_LINES = ocr_lines()
 
 # Regions as fractions of width and height (left, top, right, bottom).
 REGIONS = {
