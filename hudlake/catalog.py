@@ -12,7 +12,7 @@ from hudlake.functions import clock, mapcode
 from hudlake.functions import playername as N
 from hudlake.functions import text as T
 from hudlake.operators import images, ocr
-from hudlake.plans import extract
+from hudlake.plans import extract, requests
 from hudlake.schema import TEXTS, call_plan
 from hudlake.sources import hud, inputs
 from hudlake.sources.tables import table
@@ -180,6 +180,20 @@ def base64_normalise(spark, sf_dir):
     return docs.select("doc_id", padded.alias("padded"), F.length(F.try_to_binary(padded, F.lit("base64"))).alias("n_bytes"))
 
 
+@query("base64_lenient", O.BASE64_LENIENT)
+def base64_lenient(spark, sf_dir):
+    plain = F.rtrim(F.translate(F.base64(F.concat("source", "lang", "doc_id").cast("binary")), "=", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", plain.alias("p"))
+    texts = docs.withColumn("pad", F.expr("repeat('=', cast((4 - length(p) % 4) % 4 AS int))")).select("doc_id", F.expr(SPOILT).alias("image_b64"))
+    return inputs.decoded(texts).select("doc_id", "status", F.when(F.col("status") == 200, F.hex("bytes")).alias("bytes"))
+
+
+#: Base64 texts spoilt in ten ways: foreign characters, padding in odd places, none, too much, an address, a letter that is not ASCII.
+SPOILT = """CASE doc_id % 10 WHEN 0 THEN p || pad WHEN 1 THEN substr(p, 1, 3) || '*~' || substr(p, 4) WHEN 2 THEN substr(p, 1, 6) || '=' || substr(p, 7) || pad
+  WHEN 3 THEN substr(p, 1, 6) || '==' || substr(p, 7) WHEN 4 THEN p || pad || p WHEN 5 THEN substr(p, 1, length(p) - 1) WHEN 6 THEN ' =' || p || pad
+  WHEN 7 THEN 'data:image/png;base64,' || p || pad WHEN 8 THEN p || 'é' ELSE '' END"""
+
+
 def _lines(spark, sf_dir):
     return hud.region_lines(spark, sf_dir).union(hud.candidate_lines(spark, sf_dir).select("image_id", "call_no", "line_no", "text", "confidence"))
 
@@ -203,10 +217,10 @@ def extract_json(spark, sf_dir):
     return extract.as_json(extract.extract(_lines(spark, sf_dir)))
 
 
-def _pictures(spark, sf_dir):
-    """Small images: a pattern of each supplier key's digest, 8 by 8 pixels of three channels."""
-    data = F.unhex(F.concat(*[F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit(f"/{i}"))) for i in range(12)]))
-    size = [F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels")]
+def _pictures(spark, sf_dir, side=8):
+    """Small images: a pattern of each supplier key's digest, ``side`` by ``side`` pixels of three channels."""
+    data = F.unhex(F.concat(*[F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit(f"/{i}"))) for i in range(3 * side * side // 16)]))
+    size = [F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("channels")]
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), *size, data.alias("data"))
 
 
@@ -227,7 +241,20 @@ def _kernel(kernel):
 
 query("white_mask", O.WHITE_MASK)(_kernel(images.white_mask))
 query("cyan_mask", O.CYAN_MASK)(_kernel(images.cyan_mask))
-query("clahe_binary")(_kernel(images.VARIANTS["binary"]))
+
+
+@query("clahe_binary", O.contrast_binary())
+def clahe_binary(spark, sf_dir):
+    import numpy as np
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            hits = [np.flatnonzero(images.VARIANTS["binary"](np.frombuffer(d, "u1").reshape(h, w, c))) for h, w, c, d in zip(b.height, b.width, b.channels, b.data)]
+            yield pd.DataFrame({"image_id": b.image_id, "lit": [len(x) for x in hits], "marks": [int((x + 1).sum()) for x in hits]})
+
+    return _pictures(spark, sf_dir, 16).mapInPandas(run, "image_id long, lit long, marks long")
 
 
 def size_engine(language: str):
@@ -244,3 +271,30 @@ def ocr_adapter(spark, sf_dir):
 @query("image_extraction", O.image_extraction())
 def image_extraction(spark, sf_dir):
     return extract.as_json(extract.extract_images(_pictures(spark, sf_dir), size_engine))
+
+
+#: Header of an 8 by 8 bitmap file of 24 bits a pixel, first row on top.
+BITMAP = "424DF600000000000000360000002800000008000000F8FFFFFF0100180000000000C000000000000000000000000000000000000000"
+
+
+def partial_engine(language: str):
+    if language == "korean":
+        raise OSError("no model")
+    return size_engine(language)
+
+
+@query("answers_by_profile", O.answers(O.image_extraction()))
+def answers_by_profile(spark, sf_dir):
+    """Requests that hold bitmaps as base64 texts, three of five spoilt, with all engines and without one."""
+    coded = F.base64(F.concat(F.unhex(F.lit(BITMAP)), "data"))
+    spoilt = [(1, F.concat(F.lit("data:image/bmp;base64,*"), coded)), (2, F.lit("***")), (3, F.lit("Zm9v")), (4, F.lit(None).cast("string"))]
+    text = coded
+    for k, other in spoilt:
+        text = F.when(F.col("image_id") % 5 == k, other).otherwise(text)
+    rows = _pictures(spark, sf_dir).select("image_id", text.alias("image_b64"))
+    runs = [("current", "current", size_engine), ("current, no korean", "current", partial_engine), ("legacy, no korean", "legacy", partial_engine)]
+    out = None
+    for name, profile, factory in runs:
+        one = requests.answers(rows, factory, profile).select("image_id", F.lit(name).alias("profile"), "status", "json")
+        out = one if out is None else out.union(one)
+    return out

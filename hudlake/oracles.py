@@ -258,3 +258,61 @@ SELECT image_id, CAST(sum(a) AS BIGINT) AS lit FROM closed GROUP BY image_id"""
 
 
 WHITE_MASK, CYAN_MASK = mask("s <= 60 AND v >= 190"), mask("h BETWEEN 80 AND 105 AND s >= 50 AND v >= 120")
+
+
+def contrast_binary(side: int = 16) -> str:
+    """(image_id, lit, marks) of ``side`` square pictures of 8 by 8 tiles: grey, tile histograms clipped and redistributed, maps of the
+    four nearest tiles blended, a 3x3 Gaussian, then each pixel against a 31-wide Gaussian mean less 9."""
+    tile = side // 8
+    area, last = tile * tile, side - 1
+    limit = max(3 * area // 256, 1)
+    hexes = " || ".join(f"md5(CAST(s_suppkey AS VARCHAR) || '/{i}')" for i in range(3 * side * side // 16))
+    byte = lambda k: f"CAST('0x' || substr(hexes, CAST(6 * p + {2 * k} + 1 AS BIGINT), 2) AS INT)"
+    mirrored = lambda c: f"(CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > {last} THEN {2 * last} - ({c}) ELSE {c} END)"
+    held = lambda c: f"greatest(0, least({last}, {c}))"
+    return f"""
+WITH px AS MATERIALIZED (
+  SELECT s_suppkey AS image_id, p // {side} AS y, p % {side} AS x, (3735 * {byte(0)} + 19235 * {byte(1)} + 9798 * {byte(2)} + 16384) >> 15 AS a
+  FROM (SELECT s_suppkey, {hexes} AS hexes FROM supplier) CROSS JOIN range({side * side}) t(p)),
+hist AS MATERIALIZED (SELECT image_id, y // {tile} AS ty, x // {tile} AS tx, a AS v, least(count(*), {limit}) AS c, greatest(count(*) - {limit}, 0) AS o FROM px GROUP BY ALL),
+tiles AS MATERIALIZED (SELECT image_id, ty, tx, sum(o) AS over, sum(o) % 256 AS lone, list((v, c)) AS counts FROM hist GROUP BY ALL),
+near AS (
+  SELECT image_id, y, x, a, greatest(0, least(7, y0 + dy)) AS ty, greatest(0, least(7, x0 + dx)) AS tx, CASE dy WHEN 1 THEN fy ELSE 1 - fy END * CASE dx WHEN 1 THEN fx ELSE 1 - fx END AS w
+  FROM (SELECT *, CAST(floor(y / {tile}.0 - 0.5) AS INT) AS y0, CAST(floor(x / {tile}.0 - 0.5) AS INT) AS x0,
+               (y / {tile}.0 - 0.5) - floor(y / {tile}.0 - 0.5) AS fy, (x / {tile}.0 - 0.5) - floor(x / {tile}.0 - 0.5) AS fx FROM px)
+  CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx)),
+mapped AS (
+  SELECT n.*, round_even((coalesce(list_sum(list_transform(list_filter(t.counts, lambda e: e[1] <= n.a), lambda e: e[2])), 0) * 1.0::DOUBLE
+    + (over // 256) * (n.a + 1) + len(list_filter(range(CAST(lone AS BIGINT)), lambda i: i * greatest(256 // greatest(lone, 1), 1) <= n.a))) * 255 / {area}, 0) AS m
+  FROM near n JOIN tiles t USING (image_id, ty, tx)),
+even AS (SELECT image_id, y, x, round_even(sum(w * least(255, greatest(0, coalesce(m, 0)))), 0) AS a FROM mapped GROUP BY ALL),
+soft AS MATERIALIZED (
+  SELECT c.image_id, c.y, c.x, round_even(sum(n.a * CASE j WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * CASE i WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 0) AS a
+  FROM even c JOIN range(-1, 2) dy(j) ON true JOIN range(-1, 2) dx(i) ON true JOIN even n ON n.image_id = c.image_id AND n.y = {mirrored('c.y + j')} AND n.x = {mirrored('c.x + i')} GROUP BY ALL),
+kernel AS (SELECT k, e / sum(e) OVER () AS w FROM (SELECT k, exp(-(k * k) / 50.0::DOUBLE) AS e FROM range(-15, 16) t(k))),
+down AS MATERIALIZED (SELECT c.image_id, c.y, c.x, sum(n.a * w) AS m FROM soft c CROSS JOIN kernel JOIN soft n ON n.image_id = c.image_id AND n.x = c.x AND n.y = {held('c.y + k')} GROUP BY ALL),
+mean AS (SELECT c.image_id, c.y, c.x, sum(n.m * w) AS m FROM down c CROSS JOIN kernel JOIN down n ON n.image_id = c.image_id AND n.y = c.y AND n.x = {held('c.x + k')} GROUP BY ALL)
+SELECT image_id, count(*) FILTER (s.a > round_even(m, 0) - 9) AS lit, coalesce(sum(y * {side} + x + 1) FILTER (s.a > round_even(m, 0) - 9), 0)::BIGINT AS marks
+FROM soft s JOIN mean USING (image_id, y, x) GROUP BY image_id"""
+
+
+#: Base64 texts of documents, spoilt in ten ways; p is the unpadded text, pad its padding.
+SPOILT = """CASE doc_id % 10 WHEN 0 THEN p || pad WHEN 1 THEN substr(p, 1, 3) || '*~' || substr(p, 4) WHEN 2 THEN substr(p, 1, 6) || '=' || substr(p, 7) || pad
+  WHEN 3 THEN substr(p, 1, 6) || '==' || substr(p, 7) WHEN 4 THEN p || pad || p WHEN 5 THEN substr(p, 1, length(p) - 1) WHEN 6 THEN ' =' || p || pad
+  WHEN 7 THEN 'data:image/png;base64,' || p || pad WHEN 8 THEN p || 'é' ELSE '' END"""
+_D = "[A-Za-z0-9+/]"
+_GROUPS = f"^((?:=*{_D}=*{_D}=?{_D}{_D})*(?:=*{_D}=*{_D}==|=*{_D}=*{_D}=?{_D}=|=*$))"
+BASE64_LENIENT = f"""
+WITH t AS (SELECT doc_id, rtrim(to_base64(encode(source || lang || doc_id)), '=') AS p FROM documents),
+x AS (SELECT doc_id, {SPOILT} AS x FROM (SELECT doc_id, p, repeat('=', CAST((4 - length(p) % 4) % 4 AS INT)) AS pad FROM t)),
+body AS (SELECT doc_id, replace(CASE WHEN starts_with(x, 'data:') THEN substr(x, instr(x, ',') + 1) ELSE x END, ' ', '') AS x FROM x),
+kept AS (SELECT doc_id, x, regexp_replace(rpad(x, CAST(ceil(length(x) / 4.0) * 4 AS INT), '='), '[^A-Za-z0-9+/=]', '', 'g') AS k FROM body),
+good AS (SELECT doc_id, x <> '' AND NOT regexp_matches(x, '[^\x00-\x7F]') AND regexp_matches(k, '{_GROUPS}') AS ok, replace(regexp_extract(k, '{_GROUPS}', 1), '=', '') AS data FROM kept)
+SELECT doc_id, CASE WHEN ok THEN 200 ELSE 400 END AS status, CASE WHEN ok THEN hex(from_base64(rpad(data, CAST(ceil(length(data) / 4.0) * 4 AS INT), '='))) END AS bytes FROM good"""
+
+
+def answers(json_of: str) -> str:
+    """Statuses and records of requests that hold pictures, spoilt by key, under the engines and profiles of ``answers_by_profile``."""
+    return f"""
+SELECT image_id, profile, CASE WHEN image_id % 5 IN (0, 1) THEN status ELSE 400 END AS status, CASE WHEN image_id % 5 IN (0, 1) AND status = 200 THEN json END AS json
+FROM ({json_of}) CROSS JOIN (VALUES ('current', 200), ('current, no korean', 503), ('legacy, no korean', 200)) p(profile, status)"""
