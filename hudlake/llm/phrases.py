@@ -215,6 +215,17 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, le
     are added up together. With a bucket for each ``SEEN`` words of the table, none holds more than some ``SEEN`` keys.
     """
 
+    kind = slot_type(n_parts)
+
+    def pack(x, ends, n):
+        """12 bytes a phrase of two words, whose end is its last word, and 4 or 8 more for a longer one."""
+        return x.astype("<i8").tobytes() + n.astype("<i4").tobytes() + (ends.astype(kind).tobytes() if length > 2 else b"")
+
+    def unpack(raw):
+        many = len(raw) // (12 + (int(kind[2]) if length > 2 else 0))
+        x, n = np.frombuffer(raw, "<i8", many), np.frombuffer(raw, "<i4", many, 8 * many).astype("i8")
+        return x, np.frombuffer(raw, kind, many, 12 * many).astype("i8") if length > 2 else x % n_words, n
+
     def run(batches):
         import pyarrow as pa
 
@@ -228,7 +239,7 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, le
             many = max(1, (len(cuts) - 1) * ROW_WORDS // max(1, len(x)))  # rows of a batch: some 24 * ROW_WORDS bytes
             for lo in range(0, len(cuts) - 1, many):
                 mine = [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts[lo : lo + many], cuts[lo + 1 : lo + many + 1])]
-                yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in mine], "found": pa.array([np.concatenate([x[o], ends[o], n[o]]).astype("<i8").tobytes() for _, o in mine], "binary")})
+                yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in mine], "found": pa.array([pack(x[o], ends[o], n[o]) for _, o in mine], "binary")})
 
         for batch in batches:
             for raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -248,8 +259,7 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, le
     def add(group):
         import pyarrow as pa
 
-        raw = [np.frombuffer(v.as_py(), "<i8").reshape(3, -1) for v in group.column("found")]
-        x, ends, n = summed(raw)
+        x, ends, n = summed([unpack(v.as_py()) for v in group.column("found")])
         kept = n >= least
         return pa.table({"x": x[kept], "ends": ends[kept], "n": n[kept]})
 
