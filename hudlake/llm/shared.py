@@ -123,11 +123,12 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def hash_sample(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
-    """The ``rows`` rows of the smallest hash of their first ``order`` column, ties by all of them; all rows if there are no more.
+    """The ``rows`` distinct rows of the smallest hash of their first ``order`` column, ties by all of them; all if there are no more.
 
-    Rows are counted by the leading bits of the hash first. Those of the classes that lie wholly behind the
+    Repeated rows count once: else a row that repeats without end would be the whole sample. Rows are counted by the leading bits of the hash first. Those of the classes that lie wholly behind the
     ``rows``-th row cannot be chosen and are left out, so that a task has few rows to offer to the choice.
     """
+    df = df.distinct()
     mixed = F.pmod(F.xxhash64(order[0]), F.lit(1 << 40))
     part = F.floor(mixed / F.lit((1 << 40) // SAMPLE_CLASSES)).cast("int")
     total, last = 0, SAMPLE_CLASSES

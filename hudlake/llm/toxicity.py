@@ -1,15 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed character n-grams (over UTF-8 bytes, of each word with a space on
-both sides, ASCII letters in lower case) that it contains, each counted once. Naive Bayes turns
+both sides, ASCII letters in lower case) that it contains, one feature for each of ``LEVELS`` that the n-gram's
+occurrences reach: a word stem that is rare in clean texts and frequent in toxic ones is told by its number. Naive Bayes turns
 presence counts in toxic and clean training texts into a log-count ratio ``r`` per feature; features
 with little evidence either way are dropped; a logistic regression is trained on the features scaled
-by ``r`` (Wang and Manning's NBSVM scheme). A score is the logistic of the weighted sum.
+by ``r`` (Wang and Manning's NBSVM scheme). A score is the logistic of the weighted sum. Lengths, levels and limits were
+chosen by cross-validation on training rows.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``FIT_ROWS`` of either class,
 those of the smallest hashes of their ids, never a held-out row. Their ids are what is broadcast. Their
 feature sets are staged; presence is counted and features are chosen from the counts (one row for each
-of ``2 ** BUCKET_BITS`` buckets at most), and only the chosen features of the sample reach the driver.
+of ``2 ** BUCKET_BITS`` buckets and level at most), and only the chosen features of the sample reach the driver.
 Labels decide nothing else; every whole text is scored.
 
 Defined cases: a null text counts as empty; an empty text has no features and gets the score of the
@@ -30,14 +32,16 @@ from pyspark.sql import functions as F
 
 from hudlake.llm import shared
 
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6)
 BUCKET_BITS = 18
+LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+FEATURES = len(LEVELS) << BUCKET_BITS
 FIT_ROWS = 1500
 HOLD_OUT = 3
 LEAST_TEXTS = 4
-LEAST_RATIO = 0.7
+LEAST_RATIO = 2.5
 SMOOTHING = 0.5
-PENALTY, ROUNDS = 1.0, 120
+PENALTY, ROUNDS = 1.0, 500
 THRESHOLD = 0.7
 #: Bytes of text whose n-grams are hashed at a time.
 CHUNK = 1 << 18
@@ -77,33 +81,35 @@ def buckets(texts: list[str | None], chunk: int = CHUNK):
 
 
 def feature_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct buckets of each text."""
+    """Sorted features of each text: bucket numbers, those of the next level ``1 << BUCKET_BITS`` further on, and so forth."""
     out = []
     for _, rows, offsets in buckets(texts):
         for a, b in zip(offsets[:-1], offsets[1:]):
-            own = np.unique(rows[:, a:b])
-            out.append(own[own >= 0].astype("i4"))
+            own, times = np.unique(rows[:, a:b], return_counts=True)
+            own, times = own[own >= 0], times[own >= 0]
+            out.append(np.concatenate([own[times >= n] + (k << BUCKET_BITS) for k, n in enumerate(LEVELS)]).astype("i4"))
     return out
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32 by bucket: ratio times trained weight
+    weights: np.ndarray  # float32 by feature: ratio times trained weight
     intercept: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
-        useful = np.flatnonzero(self.weights)
-        slot = np.full(len(self.weights) + 1, len(useful), "i4")  # the last one stands for -1 and all useless buckets
+        by_level = self.weights.reshape(len(LEVELS), -1)
+        useful = np.flatnonzero(by_level.any(0))
+        slot = np.full(by_level.shape[1] + 1, len(useful), "i4")  # the last one stands for -1 and all useless buckets
         slot[useful] = np.arange(len(useful))
-        w = self.weights[useful].astype("f8")
+        reached = np.concatenate([np.zeros((1, len(useful))), np.cumsum(by_level[:, useful].astype("f8"), axis=0)])
         for first, rows, offsets in buckets(texts):
             hit = slot[rows]
             r, c = np.nonzero(hit < len(useful))
             text = np.searchsorted(offsets, c, "right") - 1
-            pair = np.unique(text.astype("i8") * (len(useful) + 1) + hit[r, c])
-            total = np.bincount(pair // (len(useful) + 1), weights=w[pair % (len(useful) + 1)], minlength=len(offsets) - 1)
-            out[first : first + len(offsets) - 1] = total
+            pair, times = np.unique(text.astype("i8") * (len(useful) + 1) + hit[r, c], return_counts=True)
+            weight = reached[np.searchsorted(LEVELS, times, "right"), pair % (len(useful) + 1)]
+            out[first : first + len(offsets) - 1] = np.bincount(pair // (len(useful) + 1), weights=weight, minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -40, 40)))
 
 
@@ -154,7 +160,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None) -> Model:
     """Fit on labelled rows of ``docs`` for which ``learn``, by default those not held out, is true."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
-    known = labels.where(F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").cast("long"), "toxic")
+    known = labels.where(F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").cast("long"), "toxic").distinct()
     chosen = shared.stage(shared.hash_sample(known.where("toxic = 1"), FIT_ROWS, ["doc_id"]).union(
         shared.hash_sample(known.where("toxic = 0"), FIT_ROWS, ["doc_id"])
     ), "chosen")
@@ -166,13 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None) ->
         return lambda columns: {"toxic": columns[0], "buckets": feature_sets(columns[1])}
 
     sets = shared.stage(shared.map_rows(examples, make, "toxic int, buckets array<int>"), "features")
-    size = 1 << BUCKET_BITS
     of_class = {r.toxic: r["count"] for r in sets.groupBy("toxic").count().collect()}
-    ratio = np.zeros(size)
+    ratio = np.zeros(FEATURES)
     if of_class.get(0) and of_class.get(1):
+        share = lambda c, n: (F.col(c) + SMOOTHING) / (n + 2 * SMOOTHING)
+        apart = F.abs(F.log(share("p", of_class[1]) / share("q", of_class[0]))) >= LEAST_RATIO - 1e-6  # ``ratios`` decides
         counts = sets.select("toxic", F.explode("buckets").alias("k")).groupBy("k").agg(
             F.sum("toxic").cast("int").alias("p"), F.sum(1 - F.col("toxic")).cast("int").alias("q")
-        ).where(F.col("p") + F.col("q") >= LEAST_TEXTS).toArrow()
+        ).where((F.col("p") + F.col("q") >= LEAST_TEXTS) & apart).toArrow()
         k, p, q = (counts.column(c).to_numpy() for c in ("k", "p", "q"))
         ratio[k] = ratios(p, q, of_class[1], of_class[0])
     useful = ratio != 0

@@ -1,19 +1,26 @@
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
-from hudlake.llm import shared, toxicity
+import pytest
+from hudlake.llm import queries, shared, toxicity
 from pyspark.sql import functions as F
 
 
+SF = "/root/testdata/sf0.1"
+
+
 def brute(text):
-    """Distinct n-grams of the text, as strings."""
+    """(n-gram, level) for each level that the n-gram's occurrences reach."""
     raw = (" " + (text or "") + " ").translate({c: 32 for c in range(9, 14)}).encode()
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
-    return {(n, low[i : i + n]) for n in toxicity.GRAMS for i in range(len(low) - n + 1)}
+    times = Counter((n, low[i : i + n]) for n in toxicity.GRAMS for i in range(len(low) - n + 1))
+    return {(g, level) for g, c in times.items() for level in toxicity.LEVELS if c >= level}
 
 
 def test_features_are_the_texts_ngrams():
-    texts = [None, "", "a", "Hello hello", "Ünï\tcödé", "x" * 50]
+    texts = [None, "", "a", "Hello hello", "Ünï\tcödé", "x" * 50, "go on go on go on go on"]
     sets = toxicity.feature_sets(texts)
     assert [len(s) for s in sets] == [len(brute(t)) for t in texts]  # no two of these share a bucket
     assert (sets[2] == toxicity.feature_sets(["a"])[0]).all()
@@ -22,7 +29,7 @@ def test_features_are_the_texts_ngrams():
 
 def test_scores_do_not_depend_on_slices():
     rng = np.random.default_rng(1)
-    m = toxicity.Model(rng.normal(size=1 << toxicity.BUCKET_BITS).astype("f4") * (rng.random(1 << toxicity.BUCKET_BITS) < 0.1), -1.0)
+    m = toxicity.Model(rng.normal(size=toxicity.FEATURES).astype("f4") * (rng.random(toxicity.FEATURES) < 0.1), -1.0)
     texts = ["some words here", None, "others " * 50, "", "more"]
     alone = np.concatenate([m.score([t]) for t in texts])
     assert np.allclose(m.score(texts), alone, atol=1e-12)
@@ -35,7 +42,7 @@ def test_fit_against_a_plain_version():
     """Ratios from sets of n-grams, and a regression by many plain gradient steps, give the same scores."""
     rows = corpus(120)
     sets, y = toxicity.feature_sets([t for _, t, _ in rows]), np.array([v for _, _, v in rows])
-    p, q = (np.bincount(np.concatenate([s for s, v in zip(sets, y) if v == c]), minlength=1 << toxicity.BUCKET_BITS) for c in (1, 0))
+    p, q = (np.bincount(np.concatenate([s for s, v in zip(sets, y) if v == c]), minlength=toxicity.FEATURES) for c in (1, 0))
     ratio = toxicity.ratios(p, q, int(y.sum()), int((1 - y).sum()))
     for k in np.flatnonzero(p + q)[::997].tolist():
         a, b = (sum(k in s for s, v in zip(sets, y) if v == c) for c in (1, 0))
@@ -66,6 +73,22 @@ def test_samples_hold_repeated_ids(spark):
         assert sorted(map(tuple, shared.hash_sample(df, n, ["doc_id", "k"]).collect())) == sorted(want[:n])
 
 
+def test_a_repeated_label_is_one_example(spark):
+    """5,000 rows that repeat one label leave the sample to the others."""
+    for one in (1, 7, 9, 12, 20):
+        df = spark.createDataFrame([(one, 1)] * 5000 + [(100 + i, 1) for i in range(900)], "doc_id long, toxic int")
+        assert shared.hash_sample(df, 1500, ["doc_id"]).count() == 901
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+def test_held_out_rows_of_the_test_tables(spark):
+    """Recall and false positives on the labelled rows that are never learned from."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").distinct()
+    rows = queries.QUERIES["op4_toxicity"](spark, SF).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 5
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     rows = corpus(200)
     docs = spark.createDataFrame([(i, t, 0.25) for i, t, _ in rows] + [(0, rows[0][1], 0.25)] * 40 + [(7000, "word " * 200_000, 1.0)], "doc_id long, text string, score double")
