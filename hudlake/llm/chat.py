@@ -142,15 +142,16 @@ def chains(rows: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    key = lambda probe: F.struct("conv_id", F.lit(probe).alias("probe")).alias("conv_id")  # noqa: E731 - a table may hold a conversation -1
+    rows = shared.table(spark, sf_dir, "conversations").select(key(False), "turn", "role", "text")
     probe = " ".join(("</s>[INST]", "ok", "[/INST]"))
     extra = spark.sql("SELECT cast(-1 AS bigint) conv_id, t.turn, t.role, t.text FROM (SELECT explode(array(named_struct("
                       f"'turn', 0L, 'role', 'user', 'text', '{probe}'), named_struct('turn', 1L, 'role', 'assistant', 'text', '{probe}'))) t)")
-    out = format_branches(conversations(chains(rows.union(extra)), keep=1))
+    out = format_branches(conversations(chains(rows.union(extra.select(key(True), "turn", "role", "text"))), keep=1))
     turns, masked = read_back(F.col("formatted")), loss_text(F.col("formatted"), F.col("loss_spans"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.col("tree.conv_id").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -162,16 +163,16 @@ def _oracle() -> str:
     markup = len(START) + len(SEP) + len(END)
     return f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, role = 'assistant' AS masked, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
-  FROM (SELECT conv_id, turn, role, text FROM conversations
-        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+  SELECT conv_id, probe, turn, coalesce(role, '') AS role, role = 'assistant' AS masked, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, probe ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM (SELECT conv_id, false AS probe, turn, role, text FROM conversations
+        UNION ALL VALUES (-1, true, 0, 'user', '</s>[INST] ok [/INST]'), (-1, true, 1, 'assistant', '</s>[INST] ok [/INST]')))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
        CAST(sum(CASE WHEN masked THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN masked THEN text END, '' ORDER BY n), '')) AS loss_sha256,
        CAST(sum(length({shown % 'role'}) + length({shown % 'text'}) + {markup}) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, probe
 """
 
 

@@ -104,17 +104,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def located(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, t, place): ``place`` names a row alike in every scan. Rows that are not read from files directly are staged first."""
-    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("place")
-    wanted = [F.col(key).alias("k"), F.col(text).alias("t")]
-    if "_metadata" not in map(str.lower, docs.columns):
-        try:
-            rows = docs.select(*wanted, place)
-            rows.schema  # noqa: B018 - resolves the plan
-            return spread(rows)
-        except AnalysisException:
-            pass
-    return spread(shared.stage(docs.select(*wanted), "texts").select("k", "t", place))
+    """(k, t, place): ``place`` names a row alike in every scan."""
+    return spread(shared.with_place(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))))
 
 
 def digested(rows: DataFrame, path: str) -> DataFrame:

@@ -229,12 +229,13 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, size: str = "length") -> Da
     Only the histogram of lengths comes to the driver, at most ``sequence`` rows.
     """
     spark = items.sparkSession
-    names = {n: shared.free_name(items.columns, n) for n in ("_salt", "_n", "_rank", "_shift", "_salts")}
-    salt, n, rank_, shift_, salts = names.values()
+    names = {n: shared.free_name(items.columns, n) for n in ("_salt", "_n", "_rank", "_shift", "_salts", "_place")}
+    salt, n, rank_, shift_, salts, place_ = names.values()
     others = [c for c in items.columns if c != size]
     counts = {r[0]: r[1] for r in items.groupBy(size).count().collect()}
     table = spark.createDataFrame([(k, -(-v // RANK_ROWS)) for k, v in counts.items()], f"`{size}` long, `{salts}` int")
-    salted = items.join(F.broadcast(table), size).select(*items.columns, F.pmod(F.xxhash64(*others), F.col(salts)).cast("int").alias(salt))
+    placed = shared.with_place(items, place_)
+    salted = placed.join(F.broadcast(table), size).select(*items.columns, F.pmod(F.col(place_), F.col(salts)).cast("int").alias(salt))
     by_salt = salted.groupBy(size, salt).agg(F.count("*").alias(n))
     places = runs(plan(counts, sequence))
     earlier = Window.partitionBy(size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)

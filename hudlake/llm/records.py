@@ -14,8 +14,10 @@ which is the framing of TFRecord files, so any reader of that format can walk a
 length, so that a reader can fetch any record, or visit records in any order, with one seek.
 
 Writing sorts the table by id over all shards: a range exchange deals rows to shards, so no task
-holds more than its range, and equal ids are told apart by a hash of the text. There are as many shards
-as the files behind the table hold ``SHARD_BYTES``, and a few for each core where that is less. A shard is
+holds more than its range; equal ids are told apart by a hash of the text, and rows that repeat both by their
+place in the files that they are read from, so any number of them is split over shards. There are as many shards
+as the files behind the table hold ``SHARD_BYTES``, ``MOST_SHARDS`` at most (they grow then, and are streamed), and a few
+for each core where that is less. A shard is
 written under a name of its task attempt and renamed when complete: a task that runs again writes
 the same bytes again, and a reader never sees half a file. Files go through ``pyarrow.fs``, which
 opens local, HDFS, S3 and GCS addresses.
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hudlake.llm import shared, tokens
+from hudlake.sources.tables import spread
 
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -42,6 +45,8 @@ BLOCK = 256
 HEAD = struct.Struct("<BqBI")
 #: Bytes of input files that make a shard, and least shards for each core.
 SHARD_BYTES, CORE_SHARDS = 64 << 20, 4
+#: Shards at most: 100 TB make shards of some 2 GB. What the driver and the exchange keep for each map and shard is bounded by it.
+MOST_SHARDS = 50_000
 #: Pre-tokens that a worker remembers (some 120 MB): it holds little else here.
 MOST_WORDS = 500_000
 
@@ -174,14 +179,14 @@ def shards(docs: DataFrame) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    return max(-(-size // SHARD_BYTES), CORE_SHARDS * docs.sparkSession.sparkContext.defaultParallelism)
+    return max(min(-(-size // SHARD_BYTES), MOST_SHARDS), CORE_SHARDS * docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def write(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Encode and write ``docs`` in ascending order of ``key``; returns the manifest of the shards, evaluated."""
-    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    ordered = rows.repartitionByRange(shards(rows), *order).sortWithinPartitions(*order)
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t"), F.col("place")]
+    ordered = spread(shared.with_place(rows)).repartitionByRange(shards(rows), *order).sortWithinPartitions(*order).select("k", "t")
 
     def run(batches):
         import pyarrow as pa
@@ -253,6 +258,6 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     back = read(write(docs, shared.new_path(spark, "records")))
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

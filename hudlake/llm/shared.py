@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def slices(batch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
         at = stop
 
 
+def with_place(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df`` with a hash of each row's file and number there, alike in every scan; rows that are not read from files are staged.
+
+    It tells rows apart that repeat in all columns, so that salts and ranges split them.
+    """
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    if "_metadata" not in map(str.lower, df.columns):
+        try:
+            out = df.withColumn(name, place)
+            out.schema  # noqa: B018 - resolves the plan
+            return out
+        except AnalysisException:
+            pass
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    staged = stage(plain, "placed")
+    return staged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], place.alias(name))
+
+
 _residents: dict[str, dict] = {}
 
 

@@ -60,3 +60,14 @@ def test_query_matches_sql(spark):
     probe = next(r for r in got if r[0] == -1)
     text = "</s>[INST] ok [/INST]"
     assert probe[2] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest() and probe[3] == len(text)
+
+
+def test_a_conversation_of_the_probes_number(spark, tmp_path):
+    """A conversation -1 of the table is a row of its own beside the probe, which stays as the contract states it."""
+    rows = [(-1, 0, "user", "hello"), (-1, 1, "assistant", "yes"), (-1, 2, "user", None), (3, 0, "assistant", "x"), (None, 0, "user", "n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((tuple(r) for r in chat.op5_chat_formatting(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.execute(chat.OP5_SQL).fetchall(), key=repr)
+    assert sorted((r[1], r[3]) for r in got if r[0] == -1) == [(2, 21), (3, 3)]

@@ -5,6 +5,7 @@ import numpy as np
 from hudlake.llm import packing, shared, tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 def optimum(items, capacity):
@@ -103,3 +104,14 @@ def test_documents_are_packed_whole(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(shared.stage(packing.pieces(docs), "pieces")).collect() == []
+
+
+def test_rows_that_repeat_are_ranked_by_many_tasks(spark):
+    """20,000 rows alike in all columns have different places, so their salts differ; packing stays whole."""
+    rows = spark.range(20_000).selectExpr("7 AS doc_id", "0 AS piece", "cast(0 AS long) AS start", "cast(1000 AS long) AS length", "'x' AS _metadata")
+    for items in (shared.stage(rows.drop("_metadata"), "items"), rows):
+        salts = shared.with_place(items, "place").groupBy(F.pmod("place", F.lit(20))).count().collect()
+        assert len(salts) == 20 and max(r["count"] for r in salts) < 1300
+    packed = packing.pack(shared.stage(rows.drop("_metadata"), "items"))
+    places = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list("offset")).alias("o")).collect()
+    assert packed.count() == 20_000 and len(places) == 10_000 and all(r.o == [0, 1000] for r in places)

@@ -65,3 +65,22 @@ def test_files_hold_all_ids_in_order(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert records.read(records.write(docs, shared.new_path(spark, "records"))).collect() == []
+
+
+def test_rows_that_repeat_are_split_over_shards(spark):
+    """20,000 rows of one id and text: no shard holds more than a fair part, and the file order is still that of ids."""
+    rows = spark.range(24_000, numPartitions=3).selectExpr("CASE WHEN id < 20000 THEN 5 ELSE id END AS doc_id", "CASE WHEN id < 20000 THEN 'same' ELSE 'other' END AS text")
+    manifest = records.write(rows, shared.new_path(spark, "records"))
+    sizes = [r.records for r in manifest.collect()]
+    assert sum(sizes) == 24_000 and max(sizes) <= 3 * 24_000 / (records.CORE_SHARDS * spark.sparkContext.defaultParallelism)
+    got = records.read(manifest).orderBy("start").collect()
+    assert [r.id for r in got] == [5] * 20_000 + list(range(20_000, 24_000)) and [r.start for r in got] == list(range(0, 48_000, 2))
+
+
+def test_number_of_shards_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(records, "SHARD_BYTES", 1)
+    monkeypatch.setattr(records, "MOST_SHARDS", 40)
+    rows = spark.range(100).selectExpr("id AS doc_id", "'text' AS text")
+    assert records.shards(rows.selectExpr("doc_id AS k", "text AS t")) == 40
+    manifest = records.write(rows, shared.new_path(spark, "records"))
+    assert manifest.count() <= 40 and records.read(manifest).count() == 100
