@@ -36,14 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder, by default with the session's compression, and read it back.
 
     This cuts the lineage at a place that survives lost executors, and makes sure that costly
     Python passes below it run once.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged
