@@ -43,6 +43,8 @@ LEAST_BUCKETS = 64
 TEXT_BYTES = 1 << 20
 BREAK, NOTHING = -1, -2
 END = b"\n"
+#: Narrow and wide types of steps between keys and of counts.
+KEYS, TIMES = ("<u4", "<u8"), ("<u1", "<i8")
 
 #: A-Z in lower case; ends of pieces, [.,;:!?\x0A-\x0D], as one byte; the tab as a space.
 BYTES = bytes(END[0] if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -143,7 +145,7 @@ def rows_out(words: bytes | None, parts: bytes | None, arrays: list):
 
 
 def word_positions(docs: DataFrame, keys: Keys) -> DataFrame:
-    """``POSITIONS`` rows: arrays of word slots (in ``words`` and, as phrases of one word, ``parts``), and counts by slot."""
+    """``POSITIONS`` rows: arrays of word slots (``parts`` is null: the phrases are the words), and counts by slot."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -155,7 +157,7 @@ def word_positions(docs: DataFrame, keys: Keys) -> DataFrame:
             nonlocal held, size
             ids = np.concatenate(held).astype(slot_type(keys.total)).tobytes()
             held, size = [], 0
-            return rows_out(ids, ids, [])
+            return rows_out(ids, None, [])
 
         for batch in batches:
             for part in shared.slices(batch, size=TEXT_BYTES):
@@ -204,8 +206,9 @@ def occurrences(words: np.ndarray, parts: np.ndarray, length: int, n_words: int)
     return at, parts[at].astype("i8") * n_words + words[at + length - 1], parts[at + 1].astype("i8")
 
 
-def opened(raw: tuple[bytes, bytes], n_words: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(raw[0], slot_type(n_words)), np.frombuffer(raw[1], slot_type(n_parts))
+def opened(raw: tuple[bytes, bytes | None], n_words: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    words = np.frombuffer(raw[0], slot_type(n_words))
+    return words, words if raw[1] is None else np.frombuffer(raw[1], slot_type(n_parts))
 
 
 def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, least: int, buckets: int) -> DataFrame:
@@ -218,13 +221,19 @@ def candidates(positions: DataFrame, length: int, n_words: int, n_parts: int, le
     kind = slot_type(n_parts)
 
     def pack(x, ends, n):
-        """12 bytes a phrase of two words, whose end is its last word, and 4 or 8 more for a longer one."""
-        return x.astype("<i8").tobytes() + n.astype("<i4").tobytes() + (ends.astype(kind).tobytes() if length > 2 else b"")
+        """Steps of the ascending keys and counts, each as narrow as they allow; a phrase of two words ends in its last word."""
+        steps = np.diff(x, prepend=x[:1])
+        wide = int(steps.max()) >= 1 << 32, int(n.max()) >= 1 << 8
+        head = len(x).to_bytes(4, "little") + int(x[0]).to_bytes(8, "little") + bytes(wide)
+        return head + steps.astype(KEYS[wide[0]]).tobytes() + n.astype(TIMES[wide[1]]).tobytes() + (ends.astype(kind).tobytes() if length > 2 else b"")
 
     def unpack(raw):
-        many = len(raw) // (12 + (int(kind[2]) if length > 2 else 0))
-        x, n = np.frombuffer(raw, "<i8", many), np.frombuffer(raw, "<i4", many, 8 * many).astype("i8")
-        return x, np.frombuffer(raw, kind, many, 12 * many).astype("i8") if length > 2 else x % n_words, n
+        many, first, a, b, at = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:12], "little"), raw[12], raw[13], 14
+        x = first + np.cumsum(np.frombuffer(raw, KEYS[a], many, at).astype("i8"))
+        at += many * int(KEYS[a][2])
+        n = np.frombuffer(raw, TIMES[b], many, at).astype("i8")
+        at += many * int(TIMES[b][2])
+        return x, np.frombuffer(raw, kind, many, at).astype("i8") if length > 2 else x % n_words, n
 
     def run(batches):
         import pyarrow as pa
@@ -312,12 +321,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("raw"))
     counts = shared.stage(word_counts(rows), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = shared.stage(counts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     buckets = max(LEAST_BUCKETS, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SEEN))
     words = shared.stage(keyed_words(counts.where(F.col("n") >= least)), "words")
+    shared.drop_stage(counts)
     keys = Keys(words, "word-keys")
     n_words = keys.total
-    positions = shared.stage(word_positions(rows, keys), "positions")
+    positions = shared.stage(word_positions(rows, keys), "positions", "zstd")
     f = F.array("f")
     level = slotted(words, keys).join(counted(positions), "slot").select(
         "slot", "lang", F.col("word").cast("string").alias("phrase"), "f", f.alias("begins"), f.alias("rests"), F.lit(-1).cast("long").alias("pre"), F.lit(-1).cast("long").alias("ends")
@@ -329,7 +339,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         found = candidates(positions, length, n_words, n_parts, least, buckets).select("x", F.lit(0).cast("long").alias("y"), "ends")
         found = shared.stage(found, "candidates")
         keys = Keys(found, "phrase-keys")
-        after = shared.stage(phrase_positions(positions, keys, length, n_words, n_parts), "positions")
+        after = shared.stage(phrase_positions(positions, keys, length, n_words, n_parts), "positions", "zstd")
         one = slotted(found, keys).join(counted(after), "slot").select("slot", F.expr(f"x div {max(1, n_words)}").alias("pre"), "ends", "f")
         short = levels[-1]
         left = short.select(F.col("slot").alias("pre"), "lang", F.col("phrase").alias("head"), "begins")
