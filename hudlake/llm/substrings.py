@@ -420,13 +420,13 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for rid, text, spots in zip(*columns):
                 codes = word_codes(split(text or ""))
                 h = shingle_hashes(codes)
-                small = codes.astype("u4").view("i4")
+                whole = codes.view("i8")
                 near = [windows(x["s"], x["e"], len(codes)) if x["crowd"] else codes[:0].view("i8") for x in spots]
                 hashes = np.split(window_hashes(h, np.concatenate(near)), np.cumsum([len(w) for w in near])[:-1])
                 for spot, w_hash in zip(spots, hashes):
                     s, e = spot["s"], spot["e"]
                     grams = np.unique(h[s : e - SHINGLE + 1]).view("i8") if spot["whole"] else None
-                    around = small[max(0, s - REACH) : s][::-1], small[e : e + REACH]
+                    around = whole[max(0, s - REACH) : s][::-1], whole[e : e + REACH]
                     for k, v in zip(out, (rid, s, e, *around, grams, spot["crowd"], len(codes), w_hash)):
                         out[k].append(v)
             return out
@@ -434,7 +434,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return work
 
     return shared.map_rows(
-        texts, make, "rid long, s int, e int, left array<int>, right array<int>, grams array<long>, crowd boolean, words int, w_hash array<long>"
+        texts, make, "rid long, s int, e int, left array<long>, right array<long>, grams array<long>, crowd boolean, words int, w_hash array<long>"
     )
 
 
