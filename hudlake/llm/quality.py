@@ -203,10 +203,10 @@ def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
             score = forest.score(excesses(rules, low, high))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-n], pa.array(score)], schema=arrow)
 
-    scored = shared.map_arrow(ruled, run, target)
     step = F.ceil(F.col("anomaly") * SCORE_STEPS)
-    good = known.where("quality = 1").select("doc_id")
-    histogram = scored.where(~F.col("base_failed")).join(good, "doc_id").groupBy(step.alias("s")).count().collect()
+    good = labelled.where("quality = 1").select(ruled.columns)  # all labelled good rows, and no others, are scored for the cut
+    histogram = shared.map_arrow(good, run, target).groupBy(step.alias("s")).count().collect()
+    scored = shared.map_arrow(ruled, run, target)
     cut = calibrate({r.s: r["count"] for r in histogram}) / SCORE_STEPS
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= cut))
 
